@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import decontam, langid, licenses, mixing, simhash, warc
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark, sf_dir):
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -17,6 +33,13 @@ def op10_warc(spark, sf_dir):
     return warc.read_archives(warc.archive(_read(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_warc": op10_warc}
+QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_simhash": op4_simhash,
+    "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
+    "op8_mixing": op8_mixing,
+    "op10_warc": op10_warc,
+}
 
 ORACLE_SQL = {"op8_mixing": mixing.oracle()}
