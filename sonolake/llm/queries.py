@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, mixing, simhash, warc
+from . import decontam, embeddings, langid, licenses, mixing, simhash, warc
 
 
 def _read(spark, sf_dir, table):
@@ -29,6 +29,10 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark, sf_dir):
     return warc.read_archives(warc.archive(_read(spark, sf_dir, "pages")))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_embeddings": op9_embeddings,
     "op10_warc": op10_warc,
 }
 
