@@ -22,16 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go when it ends, as the table stands in their place.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def size_hint(df: DataFrame) -> int:
     """Bytes that the optimizer expects of a table (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def chunk_count(docs: DataFrame, chunk_mb: float, least: int = 48) -> int:
@@ -40,6 +52,36 @@ def chunk_count(docs: DataFrame, chunk_mb: float, least: int = 48) -> int:
     return int(max(4 if mb < 8 else least, -(-mb // chunk_mb)))
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending uint64 numbers as byte planes of their differences, which compress well."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes as byte planes."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of uint64 numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def chunked(docs: DataFrame, chunks: int, *columns: str) -> DataFrame:
+    """(chunk, *columns): rows dealt into chunks by a hash of id and text."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), *columns)
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of an edge list: every node but a component's smallest, with that smallest node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, licenses, mixing, simhash, warc
+from . import decontam, embeddings, langid, licenses, mixing, ngrams, simhash, warc
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scores(spark, sf_dir):
+    return ngrams.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op6_language_id": op6_language_id,
