@@ -41,16 +41,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+class Ids(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Chunk:
     """Token sequences of a chunk's texts, each between a start and an end, and their n-gram hashes."""
 
     def __init__(self, texts: list[bytes], train: np.ndarray, order: int):
-        ids: dict[bytes, int] = {START: 0, END: 1}
-        add = ids.setdefault
+        ids = Ids({START: 0, END: 1})
+        number = ids.__getitem__
         runs, sizes = [], []
         for t in texts:
             w = t.lower().split()
-            runs.append(np.fromiter((add(x, len(ids)) for x in w), np.int32, len(w)))
+            runs.append(np.fromiter(map(number, w), np.int32, len(w)))
             sizes.append(len(w) + 2)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -157,7 +165,7 @@ class Automaton:
             c, cc = counts[k - 1][gram], counts[k - 2][ctx]
             prob[at] = (c + strength * prob[at]) / (cc + strength)
             firsts = np.unique(np.where(c > 0, gram, -1), return_index=True)
-            pick = firsts[1][firsts[0] >= 0]
+            pick = np.sort(firsts[1][firsts[0] >= 0])  # arcs lie in memory as texts meet them
             key = state_of[k - 2][at - 1][pick] * width + chunk.tokens[at][pick]
             arcs.update(zip(key.tolist(), range(len(arc_prob), len(arc_prob) + len(pick))))
             arc_prob += np.log10(prob[at][pick]).tolist()
