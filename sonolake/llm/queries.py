@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, licenses, mixing, ngrams, simhash, warc
+from pyspark.sql import functions as F
+
+from . import decontam, embeddings, langid, licenses, mixing, ngrams, simhash, substrings, warc
 
 
 def _read(spark, sf_dir, table):
@@ -13,6 +15,11 @@ def op1_lm_scores(spark, sf_dir):
     return ngrams.score(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    got = substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op6_language_id": op6_language_id,
