@@ -1,4 +1,67 @@
-STAGES = []
+"""From raw documents to a training mix: each stage reads what its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``; the last returns the selections of the mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sonolake.llm import decontam, langid, mixing, simhash, substrings
+from sonolake.llm.common import stage
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without a letter, or under the calibrated score, go."""
+    return langid.predict(docs, langid.fit(docs), docs.columns).where("accepted").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest id; of rows that share it, the first by text.
+
+    Rows without an id belong to no group and stay.
+    """
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(stage(kept, "kept"), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    rows = rows.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    return rows.unionByName(docs.where("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a smaller id holds; documents of which no word is left go."""
+    other = [c for c in docs.columns if c not in ("text", "n_chars")]
+    got = substrings.remove_repeats(docs, other, characters=True).withColumn("text", F.col("kept").cast("string"))
+    got = got.where("n_removed = 0 OR text RLIKE '[^ \\\\x09-\\\\x0D]'").withColumn("n_chars", F.length("text").cast("long"))
+    return got.select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item leaked."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The selections that meet the target weights."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("source_mix", source_mix),
+]
+
+#: SQL can express neither the classifier nor the suffix stage; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return docs

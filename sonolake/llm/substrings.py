@@ -141,8 +141,6 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = L) -> np.nda
                     sorted_by[offset] = np.sort(keys(of[a], offset))
                 below[of[b]] += np.searchsorted(sorted_by[offset], keys(of[b], offset))
     # Places among all tied suffixes, made places in each tie's own range.
-    start_of = np.zeros(int(ties.max()) + 1, np.int64)
-    np.minimum.at(start_of, ties, 0)
     start_of = np.concatenate([[0], np.cumsum(np.bincount(ties))[:-1]])
     place[x] += below - start_of[ties]
     return place
@@ -331,7 +329,13 @@ def removed(size: int, spans: list[tuple[int, int, np.ndarray]], doc: int) -> np
     return np.cumsum(marks[:-1]) > 0
 
 
-def _apply(carry: list[str], schema):
+def whole_characters(b: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The bytes to go, with those of characters that lose one."""
+    character = np.cumsum((b & 0xC0) != 0x80)
+    return np.bincount(character, weights=gone)[character] > 0
+
+
+def _apply(carry: list[str], schema, characters: bool):
     def work(docs: pa.Table, side: pa.Table) -> pa.Table:
         fixed = [docs.column(c).combine_chunks() for c in carry]
         n_bytes, n_removed, n_spans, kept = [], [], [], []
@@ -353,15 +357,19 @@ def _apply(carry: list[str], schema):
                 n_bytes.append(len(text))
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if n_removed[-1] else text)
+                b = np.frombuffer(text, np.uint8)
+                kept.append(b[~(whole_characters(b, gone) if characters else gone)].tobytes() if n_removed[-1] else text)
         new = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
         return pa.table(fixed + new, names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return work
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_mb: float = CHUNK_MB) -> DataFrame:
-    """The columns ``carry`` (doc_id, if none are named) of every row with n_bytes, n_removed, n_spans and the kept bytes."""
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_mb: float = CHUNK_MB, characters: bool = False) -> DataFrame:
+    """The columns ``carry`` (doc_id, if none are named) of every row with n_bytes, n_removed, n_spans and the kept bytes.
+
+    With ``characters``, what is kept loses the rest of characters that are cut, and so is UTF-8 again.
+    """
     carry = carry or ["doc_id"]
     chunks = chunk_count(docs, chunk_mb)
     bits = max(2, (chunks // 3).bit_length())
@@ -375,4 +383,4 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_mb: fl
     asked = lean.groupBy("__chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_ask_runs(shift), MARKS)
     answers = stage(asked.groupBy("bucket").applyInArrow(_answer_runs, MARKS), "runs")
     schema = rows.select(*carry).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return base.groupBy("__chunk").cogroup(codes.unionByName(answers).groupBy("chunk")).applyInArrow(_apply(carry, schema), schema)
+    return base.groupBy("__chunk").cogroup(codes.unionByName(answers).groupBy("chunk")).applyInArrow(_apply(carry, schema, characters), schema)
