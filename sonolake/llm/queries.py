@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, licenses, mixing, ngrams, simhash, substrings, warc
+from . import decontam, embeddings, langid, licenses, mixing, ngrams, paragraphs, simhash, substrings, warc
 
 
 def _read(spark, sf_dir, table):
@@ -28,6 +28,10 @@ def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_dedup(spark, sf_dir):
+    return paragraphs.duplicated_documents(_read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
