@@ -15,6 +15,7 @@ match; rows with a null doc_id are searched and keep the null; rows of a repeate
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT, BLOCK_UNITS, SHARD = 48, 32, 20_000
+UNIT, BLOCK_UNITS, SHARD = 48, 4, 1_000
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
+RARE = 0.05  # share of units up to which a term is rare
 WORD = re.compile(r"\w+")
 
 
@@ -53,13 +55,16 @@ class Index:
     vocab: dict[str, int]
     unit_item: np.ndarray  # item of each unit
     items: list[tuple]  # (item_id, question grams, answer grams)
-    lists: list[tuple[list[int], list[float], list[float]]]  # by term: units, impacts, maxima of the blocks
-    block_max: np.ndarray  # terms x blocks
+    lists: list[tuple[list[int], list[float], dict[int, float]]]  # by term: units, impacts, maxima by block
+    top: list[float]  # largest impact of each term
+    rare: dict[str, int]  # terms of few units
+    rare_max: np.ndarray  # rare terms x blocks, the same maxima
+    frequent: np.ndarray  # by block: the most that all other terms add to one of its units
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all units whose impacts for these distinct terms add up to the threshold."""
         end = len(self.unit_item)
-        cursors = [[self.lists[t][0][0], 0, float(self.block_max[t].max()), t] for t in terms]
+        cursors = [[self.lists[t][0][0], 0, self.top[t], t] for t in terms]
         found = []
         while True:
             cursors.sort()
@@ -77,7 +82,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == unit:
                 pivot += 1
             block = unit // BLOCK_UNITS
-            if sum(self.block_max[c[3], block] for c in cursors[: pivot + 1]) < threshold:
+            if sum([self.lists[c[3]][2].get(block, 0.0) for c in cursors[: pivot + 1]]) < threshold:
                 # No unit up to the end of this block, or the next list's unit, can reach the threshold.
                 after = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
                 self._forward(cursors[: pivot + 1], min((block + 1) * BLOCK_UNITS, after))
@@ -92,8 +97,7 @@ class Index:
     def _forward(self, cursors, unit: int) -> None:
         for c in cursors:
             units = self.lists[c[3]][0]
-            while c[1] < len(units) and units[c[1]] < unit:
-                c[1] += 1
+            c[1] = bisect_left(units, unit, c[1])
             c[0] = units[c[1]] if c[1] < len(units) else len(self.unit_item)
 
 
@@ -108,6 +112,9 @@ def build(items: list[tuple]) -> Index:
             units.append(w[k * len(w) // n : (k + 1) * len(w) // n])
             unit_item.append(len(kept))
         kept.append((item_id, grams(q), grams(a)))
+    # Units of like size share blocks: impacts of frequent words, and so a block's bound, follow the size.
+    by_size = sorted(range(len(units)), key=lambda u: len(set(units[u])))
+    units, unit_item = [units[u] for u in by_size], [unit_item[u] for u in by_size]
     vocab: dict[str, int] = {}
     postings: list[list[tuple[int, int]]] = []
     for u, w in enumerate(units):
@@ -122,46 +129,56 @@ def build(items: list[tuple]) -> Index:
     for p, x in zip(postings, weights):
         for (u, _), v in zip(p, x):
             own[u] += v
-    block_max = np.zeros((len(vocab), -(-n // BLOCK_UNITS)), np.float64)
-    lists = []
-    for t, (p, x) in enumerate(zip(postings, weights)):
+    lists, spelt = [], list(vocab)
+    rare = {spelt[t]: r for r, t in enumerate(t for t, p in enumerate(postings) if len(p) <= max(2, RARE * n))}
+    rare_max = np.zeros((len(rare), -(-n // BLOCK_UNITS)), np.float32)
+    frequent = np.zeros(-(-n // BLOCK_UNITS) * BLOCK_UNITS)
+    for word, p, x in zip(spelt, postings, weights):
         impacts = [v / own[u] for (u, _), v in zip(p, x)]
+        maxima: dict[int, float] = {}
         for (u, _), v in zip(p, impacts):
-            block_max[t, u // BLOCK_UNITS] = max(block_max[t, u // BLOCK_UNITS], v)
-        lists.append(([u for u, _ in p], impacts, []))
-    return Index(vocab, np.array(unit_item, np.int64), kept, lists, block_max)
+            maxima[u // BLOCK_UNITS] = max(maxima.get(u // BLOCK_UNITS, 0.0), v)
+            if word not in rare:
+                frequent[u] += v
+        if word in rare:
+            rare_max[rare[word], list(maxima)] = list(maxima.values())
+        lists.append(([u for u, _ in p], impacts, maxima))
+    frequent = frequent.reshape(-1, BLOCK_UNITS).max(axis=1)
+    return Index(vocab, np.array(unit_item, np.int64), kept, lists, [max(x[1]) for x in lists], rare, rare_max, frequent)
 
 
 def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
     """(row, item_id, score, question_overlap, answer_overlap) of every leak in a list of texts."""
-    get, found = index.vocab.get, {}
+    get, found = index.rare.get, {}
     tokens = [words(t) for t in texts]
-    ids = np.concatenate([np.empty(0, np.int64), *[np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in tokens]])
+    hits = [[(i, t) for i, t in enumerate(map(get, ws)) if t is not None] for ws in tokens]
     sizes = np.array([len(ws) for ws in tokens], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(tokens)), sizes)
-    # Windows of two segments of UNIT words; segment s of a row is in its windows s - 1 and s.
+    row = np.repeat(np.arange(len(tokens)), [len(h) for h in hits])
+    if not len(row):
+        return []
+    at, ids = np.array([x for h in hits for x in h], np.int64).T
+    # Windows of two segments of UNIT words; segment s of a row is in its windows s and s + 1.
     segments = np.maximum(1, -(-sizes // UNIT))
     base = np.cumsum(segments + 1) - (segments + 1)
-    hit = ids >= 0
-    row, at = row[hit], np.flatnonzero(hit)
-    ids = ids[hit]
-    seg = base[row] + (at - starts[row]) // UNIT
-    v = max(1, len(index.vocab))
+    seg = base[row] + at // UNIT
+    v = len(index.rare)
     keys = np.unique(np.concatenate([seg * v + ids, (seg + 1) * v + ids]))
-    if not len(keys):
-        return []
     window, term = keys // v, keys % v
     first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
     ends = np.append(first[1:], len(keys))
-    # A block's bound: the sum of its maxima over the window's terms.
+    # A block's bound: the sum of its maxima over the window's rare terms, and all that frequent terms can add.
     could = np.zeros(len(first), bool)
-    for b in range(index.block_max.shape[1]):
-        could |= np.add.reduceat(index.block_max[term, b], first) >= threshold - 1e-9
+    for k in range(0, len(first), 4096):
+        few = first[k : k + 4096]
+        bound = np.add.reduceat(index.rare_max[term[few[0] : ends[min(k + 4096, len(first)) - 1]]], few - few[0], axis=0)
+        could[k : k + 4096] = (bound + index.frequent >= threshold - 1e-4).any(axis=1)
     rows_of = np.searchsorted(base, window[first], side="right") - 1
-    for k in np.flatnonzero(could):
-        for unit, score in index.retrieve(term[first[k] : ends[k]].tolist(), threshold):
-            key = (int(rows_of[k]), int(index.unit_item[unit]))
+    for k in np.flatnonzero(could).tolist():
+        r = int(rows_of[k])
+        start = (int(window[first[k]]) - int(base[r]) - 1) * UNIT
+        terms = {index.vocab[w] for w in tokens[r][max(0, start) : start + 2 * UNIT] if w in index.vocab}
+        for unit, score in index.retrieve(sorted(terms), threshold):
+            key = (r, int(index.unit_item[unit]))
             found[key] = max(found.get(key, 0.0), score)
     out = []
     have: dict[int, set] = {}
@@ -175,16 +192,20 @@ def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD,
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of every item leaked in a document."""
-    spark = docs.sparkSession
+def _shards(benchmark: DataFrame):
+    """Broadcast indexes of at most about SHARD items each, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-items.count() // SHARD))
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
     for s in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()
-        shared = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in part]))
+        yield benchmark.sparkSession.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in part]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of every item leaked in a document."""
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for shared in _shards(benchmark):
 
         def work(batches, shared=shared):
             index = shared.value
@@ -200,3 +221,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
         got = x.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of docs in which no item leaked, whatever their ids."""
+    at = docs.columns.index("text")
+    for shared in _shards(benchmark):
+
+        def work(batches, shared=shared):
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    piece = batch.slice(start, 512)
+                    gone = {r for r, *_ in search(shared.value, piece.column(at).to_pylist(), threshold, overlap)}
+                    yield piece.filter(pa.array([r not in gone for r in range(piece.num_rows)]))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
