@@ -1 +1,182 @@
+"""Queries over metadata graphs, sets, traces, signals and run histories."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.base import r6
+from .loud_q import S, samples
+from .registry import add
+
+
+def closure(spark, sf, depth=12):
+    """Leaves reachable from each root of a self-nesting graph (an order nests in a third of its number), with depth.
+
+    One equi join a level; a path that meets itself stops, and levels end when no row is left to extend.
+    """
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    edges = o.join(o.select(F.col("o_orderkey").alias("parent")), F.expr("o_orderkey div 3") == F.col("parent")).where("o_orderkey <> parent").select("o_orderkey", "parent")
+    up = edges.select("o_orderkey", F.col("parent").alias("root"), F.lit(1).alias("depth"), F.array("o_orderkey", "parent").alias("path"))
+    out = up
+    for _ in range(depth):
+        step = edges.select(F.col("o_orderkey").alias("root"), F.col("parent").alias("next"))
+        up = up.join(step, "root").where(~F.array_contains("path", F.col("next"))).select("o_orderkey", F.col("next").alias("root"), F.col("depth") + 1, F.concat("path", F.array("next")).alias("path")).toDF("o_orderkey", "root", "depth", "path")
+        out = out.unionByName(up)
+    return out.groupBy("root").agg(F.count(F.lit(1)).alias("n_below"), F.max("depth").alias("deepest"))
+
+
+add("graph_closure", closure, """
+WITH RECURSIVE e AS (SELECT a.o_orderkey AS child, b.o_orderkey AS parent FROM orders a JOIN orders b ON a.o_orderkey // 3 = b.o_orderkey AND a.o_orderkey <> b.o_orderkey),
+r AS (SELECT child, parent AS root, 1 AS depth FROM e UNION ALL SELECT r.child, e.parent, r.depth + 1 FROM r JOIN e ON r.root = e.child) SELECT root, COUNT(*) AS n_below, MAX(depth) AS deepest FROM r GROUP BY root""")
+
+
+def star(spark, sf):
+    """Programme to leaf through four equi joins, with how many kinds meet in each: dimensions broadcast by size."""
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    x = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return x.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_mktsegment").alias("kinds"), F.min("o_orderkey").alias("first"))
+
+
+add("star_join", star, "SELECT r_name, n_name, COUNT(*) AS n, COUNT(DISTINCT c_mktsegment) AS kinds, MIN(o_orderkey) AS first FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+
+add("unresolved_refs_anti", lambda spark, sf: spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/orders.parquet").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"),
+    "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+
+
+def zip_tracks(spark, sf):
+    """Two ordered lists of a pack joined by position; a length mismatch leaves nulls on one side."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
+    a = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("xs")).select("l_orderkey", F.posexplode("xs").alias("pos", "track"))
+    b = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("ys")).select("l_orderkey", F.posexplode("ys").alias("pos", "channel"))
+    return a.join(b, ["l_orderkey", "pos"], "full").groupBy("l_orderkey").agg(F.count("track").alias("tracks"), F.count("channel").alias("channels"), F.bool_and(F.col("track").isNotNull() & F.col("channel").isNotNull()).alias("matched"))
+
+
+add("track_zip", zip_tracks, """
+WITH a AS (SELECT l_orderkey, l_partkey AS track, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS pos FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)), b AS (SELECT l_orderkey, l_suppkey AS channel, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS pos FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem))
+SELECT l_orderkey, COUNT(track) AS tracks, COUNT(channel) AS channels, bool_and(track IS NOT NULL AND channel IS NOT NULL) AS matched FROM a FULL JOIN b USING (l_orderkey, pos) GROUP BY l_orderkey""")
+
+
+def unassigned(spark, sf):
+    """All (nation, segment) rows less those that occur: EXCEPT."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    every = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey").crossJoin(F.broadcast(c.select("c_mktsegment").distinct()))
+    return every.exceptAll(c.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct())
+
+
+add("unassigned_except", unassigned, "SELECT n_nationkey, c_mktsegment FROM nation, (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000")
+
+add("coverage_tokens", lambda spark, sf: _coverage(spark, sf), "SELECT type AS event_type, COUNT(*) FILTER (WHERE lower(text) LIKE '%' || substr(type, 1, 3) || '%') AS n_docs FROM documents, (SELECT DISTINCT event_type AS type FROM events) GROUP BY type")
+
+
+def _coverage(spark, sf):
+    types = spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct()
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.lower("text").alias("t")).crossJoin(F.broadcast(types))
+    return d.groupBy("event_type").agg(F.count_if(F.instr(F.col("t"), F.substring("event_type", 1, 3)) > 0).alias("n_docs"))
+
+
+def trace_diff(spark, sf, most=4):
+    """Full outer diff of two traces (even and odd suppliers' discounts): of each first divergent block at most four rows."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.expr("l_orderkey div 8").alias("block"), "l_linenumber", F.round(F.col("l_discount") * 100).cast("bigint").alias("v"), (F.col("l_suppkey") % 2).alias("side"))
+    side = lambda k, name: l.where(f"side = {k}").groupBy("block", F.col("l_linenumber").alias("idx")).agg(F.sum("v").alias(name))
+    d = side(0, "a").join(side(1, "b"), ["block", "idx"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    return d.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("idx"))).where(F.col("k") <= most).select("block", "idx", "a", "b")
+
+
+add("trace_diff_full_outer", trace_diff, """
+WITH l AS (SELECT l_orderkey // 8 AS block, l_linenumber AS idx, CAST(round(l_discount * 100) AS BIGINT) AS v, l_suppkey % 2 AS side FROM lineitem), a AS (SELECT block, idx, CAST(SUM(v) AS BIGINT) AS a FROM l WHERE side = 0 GROUP BY ALL), b AS (SELECT block, idx, CAST(SUM(v) AS BIGINT) AS b FROM l WHERE side = 1 GROUP BY ALL),
+d AS (SELECT block, idx, a, b FROM a FULL JOIN b USING (block, idx) WHERE a IS DISTINCT FROM b) SELECT block, idx, a, b FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY idx) AS k FROM d) WHERE k <= 4""")
+
+HIST = "h AS (SELECT l_returnflag || l_linestatus AS leg, CAST(date_trunc('month', l_shipdate) AS DATE) AS run, AVG(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v FROM lineitem GROUP BY ALL)"
+
+
+def history(spark, sf):
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return l.groupBy(F.concat("l_returnflag", "l_linestatus").alias("leg"), F.to_date(F.trunc("l_shipdate", "month")).alias("run")).agg(F.avg(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("v"))
+
+
+def trailing(spark, sf):
+    """Each run against the mean of up to ten before it: soft at +1 %, hard at +5 %."""
+    base = F.avg("v").over(Window.partitionBy("leg").orderBy("run").rowsBetween(-10, -1))
+    x = history(spark, sf).withColumn("base", base)
+    r = F.col("v") / F.col("base") - 1
+    return x.select("leg", F.date_format("run", "yyyy-MM-dd").alias("run"), r6(F.col("v")).alias("v"), r6(F.col("base")).alias("base"), F.when(F.col("base").isNull(), "none").when(r > 0.05, "hard").when(r > 0.01, "soft").otherwise("ok").alias("verdict"))
+
+
+add("trailing_mean_regression", trailing, f"""
+WITH {HIST}, b AS (SELECT *, AVG(v) OVER (PARTITION BY leg ORDER BY run ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM h)
+SELECT leg, strftime(run, '%Y-%m-%d') AS run, round(v, 6) AS v, round(base, 6) AS base, CASE WHEN base IS NULL THEN 'none' WHEN v / base - 1 > 0.05 THEN 'hard' WHEN v / base - 1 > 0.01 THEN 'soft' ELSE 'ok' END AS verdict FROM b""")
+
+
+def churn(spark, sf, floor=4_000_000.0):
+    """Two tiers with an absolute floor where the baseline is near zero; metrics unpivoted by stack."""
+    x = history(spark, sf).withColumn("base", F.min("v").over(Window.partitionBy("leg").orderBy("run").rowsBetween(-3, -1)))
+    x = x.select("leg", "run", F.expr("stack(2, 'value', v, base, 'half', v / 2, base / 2) AS (metric, v, base)"))
+    tier = F.when(F.col("base").isNull(), "new").when(F.col("base") <= floor, F.when(F.col("v") > floor * 1.2, "hard").otherwise("ok")).when(F.col("v") > F.col("base") * 1.2, "hard").when(F.col("v") > F.col("base") * 1.05, "soft").otherwise("ok")
+    return x.groupBy("leg", "metric", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+add("churn_tiers", churn, f"""
+WITH {HIST}, b AS (SELECT *, MIN(v) OVER (PARTITION BY leg ORDER BY run ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS base FROM h), u AS (SELECT leg, 'value' AS metric, v, base FROM b UNION ALL SELECT leg, 'half', v / 2, base / 2 FROM b)
+SELECT leg, metric, CASE WHEN base IS NULL THEN 'new' WHEN base <= 4000000 THEN CASE WHEN v > 4800000 THEN 'hard' ELSE 'ok' END WHEN v > base * 1.2 THEN 'hard' WHEN v > base * 1.05 THEN 'soft' ELSE 'ok' END AS tier, COUNT(*) AS n FROM u GROUP BY ALL""")
+
+
+def _series(spark, sf):
+    """Two hourly signals: sums of clicks and of views."""
+    h = samples(spark, sf).withColumn("n", F.floor(F.col("us") / 3_600_000_000).cast("bigint"))
+    sig = lambda t: h.where(F.col("channel") == t).groupBy("n").agg(F.sum("x").alias("x"))
+    return sig("click"), sig("view")
+
+
+_SERIES = f"{S}, h AS (SELECT channel, CAST(floor(us / 3600000000) AS BIGINT) AS n, CAST(SUM(x) AS BIGINT) AS x FROM s GROUP BY ALL), a AS (SELECT n, x AS xa FROM h WHERE channel = 'click'), b AS (SELECT n, x AS xb FROM h WHERE channel = 'view')"
+
+
+def best_lag(spark, sf, reach=24):
+    """The lag with the largest correlation sum; of equals the first."""
+    a, b = _series(spark, sf)
+    lags = spark.range(-reach, reach + 1).select(F.col("id").alias("lag"))
+    moved = b.crossJoin(F.broadcast(lags)).select((F.col("n") + F.col("lag")).alias("n"), "lag", F.col("x").alias("y"))
+    score = a.join(moved, "n").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    return score.agg(F.max(F.struct("score", (-F.col("lag")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("lag"), F.col("m.score").alias("score"))
+
+
+add("lag_align_argmax", best_lag, f"""
+WITH {_SERIES}, c AS (SELECT lag, CAST(SUM(xa * xb) AS BIGINT) AS score FROM a, b, (SELECT unnest(generate_series(-24, 24)) AS lag) WHERE a.n = b.n + lag GROUP BY lag) SELECT lag, score FROM c ORDER BY score DESC, lag LIMIT 1""")
+
+
+def snr(spark, sf):
+    """10 log10 of signal over difference, for each channel's hours against its user-halved copy; infinite if equal."""
+    h = samples(spark, sf).withColumn("n", F.floor(F.col("us") / 3_600_000_000).cast("bigint")).groupBy("channel", "n").agg(F.sum("x").alias("s"), F.sum(F.when(F.col("user_id") % 2 == 0, F.col("x")).otherwise(0)).alias("d"))
+    t = h.groupBy("channel").agg(F.sum(F.col("s") * F.col("s")).cast("double").alias("num"), F.sum((F.col("s") - F.col("d")) * (F.col("s") - F.col("d"))).cast("double").alias("den"))
+    return t.select("channel", F.when(F.col("den") == 0, float("inf")).otherwise(r6(10 * F.log10(F.col("num") / F.col("den")))).alias("snr_db"))
+
+
+add("snr_db", snr, f"""
+WITH {S}, h AS (SELECT channel, floor(us / 3600000000) AS n, SUM(x) AS s, SUM(CASE WHEN user_id % 2 = 0 THEN x ELSE 0 END) AS d FROM s GROUP BY ALL), t AS (SELECT channel, CAST(SUM(s * s) AS DOUBLE) AS num, CAST(SUM((s - d) * (s - d)) AS DOUBLE) AS den FROM h GROUP BY channel)
+SELECT channel, CASE WHEN den = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(num / den), 6) END AS snr_db FROM t""")
+
+add("spread", lambda spark, sf: samples(spark, sf).groupBy("user_id").agg((F.max("x") - F.min("x")).alias("spread"), F.count_if(F.col("x") == 0).alias("zeros")),
+    f"WITH {S} SELECT user_id, MAX(x) - MIN(x) AS spread, COUNT(*) FILTER (WHERE x = 0) AS zeros FROM s GROUP BY user_id")
+
+
+def verdicts(spark, sf):
+    """Counts by verification outcome, and documents that were never judged."""
+    l, d = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    x = d.join(l, "doc_id", "left")
+    out = F.when(F.col("quality").isNull(), "unjudged").when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "pass").otherwise("fail")
+    return x.groupBy("source", out.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+add("verification_counts", verdicts, "SELECT source, CASE WHEN quality IS NULL THEN 'unjudged' WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS outcome, COUNT(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+
+
+def turns(spark, sf):
+    """Dialogue turns by role with how many follow a turn of another role, and holes in the numbering."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    x = c.withColumn("before", F.lag("role").over(w)).withColumn("hole", F.col("turn") - F.lag("turn").over(w) > 1)
+    return x.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("role")).alias("switches"), F.count_if("hole").alias("holes"))
+
+
+add("dialogue_turns", turns, """
+WITH x AS (SELECT role, lag(role) OVER w AS before, turn - lag(turn) OVER w > 1 AS hole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) SELECT role, COUNT(*) AS n, COUNT(*) FILTER (WHERE before <> role) AS switches, COUNT(*) FILTER (WHERE hole) AS holes FROM x GROUP BY role""")
