@@ -229,11 +229,13 @@ def _sides(side: pa.Table, kind: int) -> list[dict]:
 
 
 def _entries(docs: pa.Table, side: pa.Table) -> tuple[list[bytes], np.ndarray, Entries, np.ndarray]:
-    """A chunk's run texts, and the order in which they are asked."""
+    """A chunk's run texts, and the order in which they are asked: by bucket key, then text, as rows of a chunk
+    can come in another order each time."""
     texts, ids, found, distinct, _ = _chunk(docs)
     codes = np.frombuffer(b"".join(r["counts"] for r in _sides(side, 1)), np.uint8)
     e = Entries(texts, ids, found, codes, distinct)
-    return texts, ids, e, np.argsort(e.keys, kind="stable")
+    by_text = np.array(sorted(range(len(e.contents)), key=e.contents.__getitem__), np.int64)
+    return texts, ids, e, by_text[np.argsort(e.keys[by_text], kind="stable")]
 
 
 def _ask_runs(shift: np.uint64):

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from test_operators import corpus, docs_of, sentence
 
 from sonolake.llm import substrings
@@ -72,6 +73,18 @@ def test_against_brute_force(spark):
     assert substrings.remove_repeats(docs_of(spark, [])).collect() == []
 
 
+def test_what_is_asked_does_not_follow_the_order_of_rows():
+    rows = rows_of()
+    asked = []
+    for order in (rows, rows[::-1]):
+        table = pa.table({"__text": [(t or "").encode() for _, t in order], "__id": pa.array([d for d, _ in order], pa.int64()), "__chunk": pa.array([0] * len(order), pa.int32())})
+        distinct = substrings._chunk(table)[3]
+        codes = substrings._table([(1, 0, 0, None, np.ones(len(distinct), np.uint8).tobytes(), None, None, None)])
+        _, _, e, at = substrings._entries(table, codes)
+        asked.append([(int(e.keys[i]), e.contents[i], int(e.least[i])) for i in at])
+    assert asked[0] == asked[1]
+
+
 def test_hot_minimizers_go_by_single_suffixes():
     rows = rows_of()
     docs = np.array([substrings.LAST if d is None else d for d, _ in rows])
