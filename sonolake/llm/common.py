@@ -52,6 +52,14 @@ def chunk_count(docs: DataFrame, chunk_mb: float, least: int = 48) -> int:
     return int(max(4 if mb < 8 else least, -(-mb // chunk_mb)))
 
 
+class Ids(dict):
+    """Numbers keys in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending uint64 numbers as byte planes of their differences, which compress well."""
     return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, unpack_numbers, unpack_sorted
+from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, unpack_numbers, unpack_sorted
 
 ORDER = 2
 #: The strength b of the lower order in each interpolation.
@@ -41,14 +41,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-class Ids(dict):
-    """Numbers words in the order in which they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Chunk:
     """Token sequences of a chunk's texts, each between a start and an end, and their n-gram hashes."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, unpack_numbers, unpack_sorted
+from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, unpack_numbers, unpack_sorted
 
 L, Q = 50, 24
 HOT = 2048
@@ -79,7 +79,8 @@ def runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             starts = np.repeat(starts, pieces) + nth * RUN
             sizes = np.diff(np.append(starts, n))
-        parts.append((starts + at, sizes, least[starts]))
+        # Minimizers are small numbers; scrambled again, they spread over all buckets.
+        parts.append((starts + at, sizes, mix64(least[starts])))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -252,12 +253,12 @@ def _ask_runs(shift: np.uint64):
     return work
 
 
-def least_holders(contents: list[bytes], keys: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-    """For each run text the smallest id that holds each of its suffixes; one number where that is all the same.
+def least_holders(contents: list[bytes], keys: np.ndarray, docs: np.ndarray) -> dict[int, np.ndarray]:
+    """The smallest id that holds each suffix, for the run texts whose key has several; all others repeat as a whole.
 
     Texts are distinct; equal suffixes are in texts of the same key.  Keys are taken in slabs of bounded text.
     """
-    out = [np.array([d]) for d in docs.tolist()]
+    out: dict[int, np.ndarray] = {}
     order = np.argsort(keys, kind="stable")
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))[order]
     edges = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]])).tolist()
@@ -290,29 +291,31 @@ def least_holders(contents: list[bytes], keys: np.ndarray, docs: np.ndarray) ->
 
 
 def _answer_runs(table: pa.Table) -> pa.Table:
-    number: dict[bytes, int] = {}
-    keys, least, of, asked = [], [], [], []
-    for r in table.to_pylist():
-        ends = np.cumsum(unpack_numbers(r["sizes"])).tolist()
-        data, start, mine = r["data"], 0, []
-        for end, key, doc in zip(ends, unpack_sorted(r["keys"]).tolist(), unpack_numbers(r["docs"]).tolist()):
-            content = data[start:end]
+    number = Ids()
+    keys, docs, of = [], [], []
+    for r in range(table.num_rows):
+        data, start, mine = table.column("data")[r].as_py(), 0, []
+        for end in np.cumsum(unpack_numbers(table.column("sizes")[r].as_py())).tolist():
+            mine.append(number[data[start:end]])
             start = end
-            e = number.get(content)
-            if e is None:
-                number[content] = e = len(number)
-                keys.append(key)
-                least.append(doc)
-            elif doc < least[e]:
-                least[e] = doc
-            mine.append(e)
-        of.append(mine)
-        asked.append((r["chunk"], r["bucket"]))
-    held = least_holders(list(number), np.array(keys, np.uint64), np.array(least, np.int64))
+        of.append(np.array(mine, np.int64))
+        keys.append(unpack_sorted(table.column("keys")[r].as_py()))
+        docs.append(unpack_numbers(table.column("docs")[r].as_py()))
+    which = np.concatenate(of)
+    key, least = np.zeros(len(number), np.uint64), np.full(len(number), LAST)
+    key[which] = np.concatenate(keys)
+    np.minimum.at(least, which, np.concatenate(docs))
+    del keys, docs
+    held = least_holders(list(number), key, least)
     rows = []
-    for (chunk, bucket), mine in zip(asked, of):
-        parts = [held[e] for e in mine]
-        rows.append((2, chunk, bucket, None, None, pack_numbers(np.concatenate(parts)), pack_numbers(np.array(list(map(len, parts)))), None))
+    for mine, chunk, bucket in zip(of, table.column("chunk").to_pylist(), table.column("bucket").to_pylist()):
+        parts = [held.get(e) for e in mine.tolist()]
+        sizes = np.fromiter((1 if p is None else len(p) for p in parts), np.int64, len(parts))
+        values = np.repeat(least[mine], sizes)
+        for at, p in zip((np.cumsum(sizes) - sizes).tolist(), parts):
+            if p is not None:
+                values[at : at + len(p)] = p
+        rows.append((2, chunk, bucket, None, None, pack_numbers(values), pack_numbers(sizes), None))
     return _table(rows)
 
 
@@ -374,7 +377,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_mb: fl
     """
     carry = carry or ["doc_id"]
     chunks = chunk_count(docs, chunk_mb)
-    bits = max(2, (chunks // 3).bit_length())
+    bits = max(2, chunks.bit_length())
     shift = np.uint64(64 - bits)
     rows = docs.select(*carry, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").cast("binary").alias("__text"))
     base = chunked(rows.withColumns({"doc_id": F.col("__id"), "text": F.col("__text")}), chunks, *(c for c in rows.columns if c not in ("doc_id", "text")), *(["doc_id"] if "doc_id" in carry else []))
