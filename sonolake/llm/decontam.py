@@ -35,13 +35,12 @@ def words(text: str | None) -> list[str]:
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of an item's question and answer: its last sentence of three words or more is the answer, or
-    the last third of its words where it has one sentence."""
-    parts = [w for s in re.split(r"(?<=[.!?])\s+|\n", text) if len(w := words(s)) >= 3]
-    if len(parts) >= 2:
-        return [w for p in parts[:-1] for w in p], parts[-1]
+    """Words of an item's question and answer: the answer begins with its last sentence of three words or more,
+    or with the last third of its words where that is also the first."""
+    parts = [w for s in re.split(r"(?<=[.!?])\s+|\n", text) if (w := words(s))]
+    at = max((k for k, p in enumerate(parts) if len(p) >= 3), default=0)
     w = words(text)
-    cut = max(1, len(w) - max(1, len(w) // 3))
+    cut = sum(map(len, parts[:at])) or max(1, len(w) - max(1, len(w) // 3))
     return w[:cut], w[cut:]
 
 

@@ -140,6 +140,17 @@ def test_block_max_wand_finds_all_above():
             assert set(got) == {u for u, s in want.items() if s >= threshold} and all(abs(got[u] - want[u]) < 1e-9 for u in got)
 
 
+def test_items_that_stand_in_a_text_are_leaks():
+    rng = random.Random(12)
+    items = [(i, "Ab. " + sentence(rng, rng.randrange(2, 60)) + ". Cd. " + sentence(rng, rng.randrange(1, 30)) + rng.choice([". X.", "", "\nno"])) for i in range(80)]
+    index = decontam.build(items)
+    texts = [sentence(rng, rng.randrange(200)) + " " + t + " " + sentence(rng, rng.randrange(90)) for _, t in items]
+    assert {(r, i) for r, i, *_ in decontam.search(index, texts)} >= {(i, i) for i, _ in items}
+    for _, t in items:
+        q, a = decontam.question_answer(t)
+        assert q + a == decontam.words(t) and q and a
+
+
 def test_leaks_against_scan_of_all(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, rng.randrange(10, 130)) + ". " + sentence(rng, rng.randrange(4, 9)) + ".") for i in range(60)]
