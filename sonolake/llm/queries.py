@@ -65,4 +65,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL = {"op8_mixing": mixing.oracle()}
+ORACLE_SQL = {"op2_suffix_dedup": substrings.oracle(), "op8_mixing": mixing.oracle()}

@@ -148,29 +148,31 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = L) -> np.nda
 
 
 class Entries:
-    """Distinct run texts of a chunk that go to buckets, and where they occur."""
-
-    def __init__(self, texts: list[bytes], docs: np.ndarray, found: list, codes: np.ndarray, distinct: np.ndarray):
-        number: dict[bytes, int] = {}
-        keys, least, where = [], [], []
-        for d, (text, (starts, sizes, values)) in enumerate(zip(texts, found)):
-            code = codes[np.searchsorted(distinct, values)] if len(values) else values
-            doc = int(docs[d])
-            for k in np.flatnonzero(code).tolist():
-                s, n = int(starts[k]), int(sizes[k])
-                for at, size in ((s, n),) if code[k] == 1 else ((s + i, 1) for i in range(n)):
-                    content = text[at : at + size + L - 1]
-                    e = number.get(content)
-                    if e is None:
-                        number[content] = e = len(number)
-                        keys.append(int(values[k]) if code[k] == 1 else xxhash.xxh64_intdigest(content))
-                        least.append(doc)
-                    elif doc < least[e]:
-                        least[e] = doc
-                    where.append((d, at, size, e))
+    """Distinct run texts of a chunk that go to buckets, and where they occur.
+
+    ``codes`` has what was answered for each run: 0 leaves it out, 1 takes it whole, 2 cuts it into single suffixes.
+    """
+
+    def __init__(self, texts: list[bytes], docs: np.ndarray, found: list, codes: np.ndarray):
+        of = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
+        starts, sizes, values = (np.concatenate([np.empty(0, t), *(f[k] for f in found)]) for k, t in enumerate((np.int64, np.int64, np.uint64)))
+        take = np.flatnonzero(codes)
+        times = np.where(codes[take] == 2, sizes[take], 1)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        take = np.repeat(take, times)
+        single = codes[take] == 2
+        #: document, start, suffixes and text of each occurrence
+        self.doc, self.start = of[take], starts[take] + nth
+        self.size = np.where(single, 1, sizes[take])
+        number = Ids()
+        ends = self.start + self.size + L - 1
+        self.entry = np.fromiter((number[texts[d][i:j]] for d, i, j in zip(self.doc.tolist(), self.start.tolist(), ends.tolist())), np.int64, len(take))
         self.contents = list(number)
-        self.keys, self.least = np.array(keys, np.uint64), np.array(least, np.int64)
-        self.where = where
+        self.keys, self.least = np.zeros(len(number), np.uint64), np.full(len(number), LAST)
+        self.keys[self.entry] = values[take]
+        for e in np.unique(self.entry[single]).tolist():
+            self.keys[e] = xxhash.xxh64_intdigest(self.contents[e])
+        np.minimum.at(self.least, self.entry, docs[self.doc])
 
 
 def _chunk(table: pa.Table):
@@ -232,9 +234,9 @@ def _sides(side: pa.Table, kind: int) -> list[dict]:
 def _entries(docs: pa.Table, side: pa.Table) -> tuple[list[bytes], np.ndarray, Entries, np.ndarray]:
     """A chunk's run texts, and the order in which they are asked: by bucket key, then text, as rows of a chunk
     can come in another order each time."""
-    texts, ids, found, distinct, _ = _chunk(docs)
+    texts, ids, found, _, index = _chunk(docs)
     codes = np.frombuffer(b"".join(r["counts"] for r in _sides(side, 1)), np.uint8)
-    e = Entries(texts, ids, found, codes, distinct)
+    e = Entries(texts, ids, found, codes[index])
     by_text = np.array(sorted(range(len(e.contents)), key=e.contents.__getitem__), np.int64)
     return texts, ids, e, by_text[np.argsort(e.keys[by_text], kind="stable")]
 
@@ -319,19 +321,29 @@ def _answer_runs(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def removed(size: int, spans: list[tuple[int, int, np.ndarray]], doc: int) -> np.ndarray:
-    """Which bytes go: spans are (start, suffixes, smallest holders)."""
-    marks = np.zeros(size + 1, np.int32)
-    for start, n, held in spans:
-        if len(held) == 1:
-            if held[0] < doc:
-                marks[start] += 1
-                marks[start + n + L - 1] -= 1
-        else:
-            at = start + np.flatnonzero(held < doc)
-            marks[at] += 1
-            np.add.at(marks, at + L, -1)
-    return np.cumsum(marks[:-1]) > 0
+def removed(texts: list[bytes], docs: np.ndarray, e: Entries, values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Which bytes of each text go.  ``values``: entry by entry the smallest holders of its suffixes, ``counts`` of
+    them; one stands for all suffixes."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    base = np.cumsum(sizes + 1) - sizes - 1
+    marks = np.zeros(int((sizes + 1).sum()), np.int32)
+    first = np.cumsum(counts) - counts
+    whole = counts[e.entry] == 1
+    go = np.flatnonzero(whole & (values[first[e.entry]] < docs[e.doc]) if len(e.entry) else whole)
+    at = base[e.doc[go]] + e.start[go]
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + e.size[go] + L - 1, -1)
+    # Entries with a holder for each suffix, laid out suffix by suffix.
+    rest = np.flatnonzero(~whole)
+    n = e.size[rest]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    rest = np.repeat(rest, n)
+    less = values[first[e.entry[rest]] + nth] < docs[e.doc[rest]]
+    at = (base[e.doc[rest]] + e.start[rest] + nth)[less]
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + L, -1)
+    gone = np.cumsum(marks, dtype=np.int32) > 0
+    return [gone[a : a + k] for a, k in zip(base.tolist(), sizes.tolist())]
 
 
 def whole_characters(b: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -346,19 +358,15 @@ def _apply(carry: list[str], schema, characters: bool):
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         if docs.num_rows:
             texts, ids, e, order = _entries(docs, side)
-            held: list = [None] * len(order)
-            at = 0
-            for r in _sides(side, 2):
-                ends = np.cumsum(unpack_numbers(r["sizes"])).tolist()
-                data, start = unpack_numbers(r["docs"]), 0
-                for end in ends:
-                    held[order[at]] = data[start:end]
-                    start, at = end, at + 1
-            spans: list[list] = [[] for _ in texts]
-            for d, start, n, entry in e.where:
-                spans[d].append((start, n, held[entry]))
-            for d, text in enumerate(texts):
-                gone = removed(len(text), spans[d], int(ids[d]))
+            answered = _sides(side, 2)
+            asked = np.concatenate([np.empty(0, np.int64), *(unpack_numbers(r["sizes"]) for r in answered)])
+            values = np.concatenate([np.empty(0, np.int64), *(unpack_numbers(r["docs"]) for r in answered)])
+            # From the order in which entries were asked to their own.
+            counts, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            counts[order], first[order] = asked, np.cumsum(asked) - asked
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            values = values[np.repeat(first, counts) + nth]
+            for text, gone in zip(texts, removed(texts, ids, e, values, counts)):
                 n_bytes.append(len(text))
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
@@ -389,3 +397,19 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_mb: fl
     answers = stage(asked.groupBy("bucket").applyInArrow(_answer_runs, MARKS), "runs")
     schema = rows.select(*carry).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return base.groupBy("__chunk").cogroup(codes.unionByName(answers).groupBy("chunk")).applyInArrow(_apply(carry, schema, characters), schema)
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL for the digest query: every 50-byte string, as hex, with the smallest id that holds it."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, CAST(length(hex(encode(COALESCE(text, '')))) // 2 AS BIGINT) AS n FROM {table}),
+k AS (SELECT doc_id, s, substr(h, 2 * s + 1, {2 * L}) AS g FROM (SELECT doc_id, h, unnest(generate_series(0, n - {L})) AS s FROM d WHERE n >= {L})),
+f AS (SELECT g, MIN(doc_id) AS m FROM k GROUP BY g HAVING MIN(doc_id) < MAX(doc_id)),
+r AS (SELECT DISTINCT k.doc_id, s FROM k JOIN f USING (g) WHERE f.m < k.doc_id),
+i AS (SELECT doc_id, s, SUM(CASE WHEN p IS NULL OR s > p + {L} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM r)),
+sp AS (SELECT doc_id, MIN(s) AS a, MAX(s) + {L} AS b FROM i GROUP BY doc_id, island),
+t AS (SELECT doc_id, CAST(SUM(b - a) AS BIGINT) AS n_removed, COUNT(*) AS n_spans, MAX(b) AS last FROM sp GROUP BY doc_id),
+p AS (SELECT doc_id, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM sp UNION ALL SELECT doc_id, last, n FROM t JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * p.a + 1, 2 * (p.b - p.a)), '' ORDER BY p.a) AS k FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept.k, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -90,13 +90,11 @@ def test_hot_minimizers_go_by_single_suffixes():
     docs = np.array([substrings.LAST if d is None else d for d, _ in rows])
     texts = [(t or "").encode() for _, t in rows]
     found = [substrings.runs(np.frombuffer(t, np.uint8)) for t in texts]
-    distinct = np.unique(np.concatenate([f[2] for f in found]))
+    n = sum(len(f[0]) for f in found)
     gone = []
     for code in (1, 2):  # all runs whole, all cut up
-        e = substrings.Entries(texts, docs, found, np.full(len(distinct), code, np.uint8), distinct)
+        e = substrings.Entries(texts, docs, found, np.full(n, code, np.uint8))
         held = substrings.least_holders(e.contents, e.keys, e.least)
-        spans = [[] for _ in texts]
-        for d, s, n, i in e.where:
-            spans[d].append((s, n, held.get(i, e.least[i : i + 1])))
-        gone.append([substrings.removed(len(t), s, int(d)).sum() for t, s, d in zip(texts, spans, docs)])
+        parts = [held.get(i, e.least[i : i + 1]) for i in range(len(e.contents))]
+        gone.append([g.sum() for g in substrings.removed(texts, docs, e, np.concatenate(parts), np.array(list(map(len, parts))))])
     assert gone[0] == gone[1] and sorted(gone[0]) == sorted(r[2] for r in brute(rows))
