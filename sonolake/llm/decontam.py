@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,24 @@ class Index:
     rare: dict[str, int]  # terms of few units
     rare_max: np.ndarray  # rare terms x blocks, the same maxima
     frequent: np.ndarray  # by block: the most that all other terms add to one of its units
+    bounds: dict[float, list] = field(default_factory=dict)  # parts by threshold
+
+    def parts(self, threshold: float) -> list[tuple[dict[str, int], np.ndarray, np.ndarray]]:
+        """(terms, maxima by block, what all other terms can add) of two sets of blocks that hold all between them.
+
+        Where frequent terms alone stay below the threshold, a window needs a rare term; in other blocks every term counts.
+        """
+        if threshold not in self.bounds:
+            low = self.frequent < threshold - 1e-4
+            high = {int(b): k for k, b in enumerate(np.flatnonzero(~low))}
+            rows, maxima = {}, []
+            for word, (_, _, by_block) in zip(self.vocab, self.lists) if high else ():
+                if not high.keys().isdisjoint(by_block):
+                    rows[word] = len(maxima)
+                    maxima.append([by_block.get(b, 0.0) for b in high])
+            dense = np.array(maxima, np.float32).reshape(len(rows), len(high))
+            self.bounds[threshold] = [(self.rare, self.rare_max[:, low], self.frequent[low]), (rows, dense, np.zeros(len(high)))]
+        return self.bounds[threshold]
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all units whose impacts for these distinct terms add up to the threshold."""
@@ -146,35 +164,39 @@ def build(items: list[tuple]) -> Index:
     return Index(vocab, np.array(unit_item, np.int64), kept, lists, [max(x[1]) for x in lists], rare, rare_max, frequent)
 
 
-def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
-    """(row, item_id, score, question_overlap, answer_overlap) of every leak in a list of texts."""
-    get, found = index.rare.get, {}
-    tokens = [words(t) for t in texts]
+def _windows(tokens: list[list[str]], base: np.ndarray, rows: dict[str, int], maxima: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Windows in which a block's bound, its maxima over the window's terms and the rest, reaches the threshold."""
+    get = rows.get
     hits = [[(i, t) for i, t in enumerate(map(get, ws)) if t is not None] for ws in tokens]
-    sizes = np.array([len(ws) for ws in tokens], np.int64)
     row = np.repeat(np.arange(len(tokens)), [len(h) for h in hits])
     if not len(row):
-        return []
+        return np.zeros(0, np.int64)
     at, ids = np.array([x for h in hits for x in h], np.int64).T
-    # Windows of two segments of UNIT words; segment s of a row is in its windows s and s + 1.
-    segments = np.maximum(1, -(-sizes // UNIT))
-    base = np.cumsum(segments + 1) - (segments + 1)
     seg = base[row] + at // UNIT
-    v = len(index.rare)
+    v = len(rows)
     keys = np.unique(np.concatenate([seg * v + ids, (seg + 1) * v + ids]))
     window, term = keys // v, keys % v
     first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
     ends = np.append(first[1:], len(keys))
-    # A block's bound: the sum of its maxima over the window's rare terms, and all that frequent terms can add.
     could = np.zeros(len(first), bool)
     for k in range(0, len(first), 4096):
         few = first[k : k + 4096]
-        bound = np.add.reduceat(index.rare_max[term[few[0] : ends[min(k + 4096, len(first)) - 1]]], few - few[0], axis=0)
-        could[k : k + 4096] = (bound + index.frequent >= threshold - 1e-4).any(axis=1)
-    rows_of = np.searchsorted(base, window[first], side="right") - 1
-    for k in np.flatnonzero(could).tolist():
-        r = int(rows_of[k])
-        start = (int(window[first[k]]) - int(base[r]) - 1) * UNIT
+        bound = np.add.reduceat(maxima[term[few[0] : ends[min(k + 4096, len(first)) - 1]]], few - few[0], axis=0)
+        could[k : k + 4096] = (bound + rest >= threshold - 1e-4).any(axis=1)
+    return window[first[could]]
+
+
+def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
+    """(row, item_id, score, question_overlap, answer_overlap) of every leak in a list of texts."""
+    tokens = [words(t) for t in texts]
+    # Windows of two segments of UNIT words; segment s of a row is in its windows s and s + 1.
+    segments = np.maximum(1, -(-np.array([len(ws) for ws in tokens], np.int64) // UNIT))
+    base = np.cumsum(segments + 1) - (segments + 1)
+    windows = [_windows(tokens, base, *part, threshold) for part in index.parts(threshold)]
+    found: dict[tuple[int, int], float] = {}
+    for window in np.unique(np.concatenate(windows)).tolist():
+        r = int(np.searchsorted(base, window, side="right")) - 1
+        start = (window - int(base[r]) - 1) * UNIT
         terms = {index.vocab[w] for w in tokens[r][max(0, start) : start + 2 * UNIT] if w in index.vocab}
         for unit, score in index.retrieve(sorted(terms), threshold):
             key = (r, int(index.unit_item[unit]))

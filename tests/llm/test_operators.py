@@ -175,6 +175,28 @@ def test_leaks_against_scan_of_all(spark):
     assert got == want and len(got) >= 27
 
 
+@pytest.mark.parametrize("items", [[(1, "the cat sat on the mat today. it was grey.")] * 3, [(i, f"What is {i % 10} plus {i // 10}? {i % 10 + i // 10}") for i in range(100)]])
+def test_items_of_frequent_terms_are_leaks(items):
+    """Three equal items have no rare term, nor have items of one template."""
+    index = decontam.build(items)
+    host = sentence(random.Random(7), 150)
+    texts = [f"{host} {t} {host}" for _, t in items] + [t for _, t in items] + ["", None, "the", host]
+    got = {(r, i) for r, i, *_ in decontam.search(index, texts)}
+    assert got >= {(k + shift, i) for k, (i, _) in enumerate(items) for shift in (0, len(items))}
+    assert max(r for r, _ in got) < 2 * len(items)
+
+
+def test_window_bound_loses_no_unit(monkeypatch):
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 60))) + ". " + sentence(rng, i % 3)) for i in range(200)]
+    texts = [" ".join([sentence(rng, 70), items[rng.randrange(200)][1], *[rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(90))]]) for _ in range(60)]
+    index = decontam.build(items)
+    assert (index.frequent >= decontam.THRESHOLD).any() and (index.frequent < decontam.THRESHOLD).any()
+    got = decontam.search(index, texts)
+    monkeypatch.setattr(decontam, "_windows", lambda tokens, base, *_: np.arange(base[-1] + max(1, -(-len(tokens[-1]) // decontam.UNIT)) + 1))
+    assert got == decontam.search(index, texts) and len(got) >= 60
+
+
 def test_license_rules(spark):
     t = licenses.SENTENCES
     rows = [
