@@ -23,3 +23,8 @@ def r6(x: Column) -> Column:
 def dim(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A dimension table of fixed values, to be broadcast: its size is that of the list."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A table computed once, its lineage cut: in the checkpoint folder where there is one, else on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.base import r6
+from ..operators.base import held, r6
 from .loud_q import S, samples
 from .registry import add
 
 
-def closure(spark, sf, depth=12):
+def closure(spark, sf):
     """Leaves reachable from each root of a self-nesting graph (an order nests in a third of its number), with depth.
 
-    One equi join a level; a path that meets itself stops, and levels end when no row is left to extend.
+    One equi join a level, each level held before the next; a path that meets itself stops, and levels end when no
+    row is left to extend.
     """
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
-    edges = o.join(o.select(F.col("o_orderkey").alias("parent")), F.expr("o_orderkey div 3") == F.col("parent")).where("o_orderkey <> parent").select("o_orderkey", "parent")
-    up = edges.select("o_orderkey", F.col("parent").alias("root"), F.lit(1).alias("depth"), F.array("o_orderkey", "parent").alias("path"))
-    out = up
-    for _ in range(depth):
-        step = edges.select(F.col("o_orderkey").alias("root"), F.col("parent").alias("next"))
-        up = up.join(step, "root").where(~F.array_contains("path", F.col("next"))).select("o_orderkey", F.col("next").alias("root"), F.col("depth") + 1, F.concat("path", F.array("next")).alias("path")).toDF("o_orderkey", "root", "depth", "path")
+    edges = held(o.join(o.select(F.col("o_orderkey").alias("parent")), F.expr("o_orderkey div 3") == F.col("parent")).where("o_orderkey <> parent").select("o_orderkey", "parent"))
+    step = edges.select(F.col("o_orderkey").alias("root"), F.col("parent").alias("next"))
+    out = up = held(edges.select("o_orderkey", F.col("parent").alias("root"), F.lit(1).alias("depth"), F.array("o_orderkey", "parent").alias("path")))
+    while not up.isEmpty():
+        up = held(up.join(step, "root").where(~F.array_contains("path", F.col("next"))).select("o_orderkey", F.col("next").alias("root"), F.col("depth") + 1, F.concat("path", F.array("next")).alias("path")).toDF("o_orderkey", "root", "depth", "path"))
         out = out.unionByName(up)
     return out.groupBy("root").agg(F.count(F.lit(1)).alias("n_below"), F.max("depth").alias("deepest"))
 

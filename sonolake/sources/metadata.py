@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.base import held
+
 PATH_FIELDS = ["object", "time_s", "x", "y", "z", "gain", "lfe_send"]
 HISTORY = "commit string, branch string, commit_date string, leg string, codec string, check string, bitrate_kbps int, worst_db double, channels_db array<double>, threshold_db double"
 EDGE = "file_id string, kind string, id string, name string, ref_kind string, ref string, pos int, error string"
@@ -83,14 +85,19 @@ def unresolved(graph: DataFrame) -> DataFrame:
     return graph.where("ref IS NOT NULL").join(ids, ["file_id", "ref"], "left_anti").select("file_id", "kind", "id", "ref")
 
 
-def leaf_objects(graph: DataFrame, depth: int = 15) -> DataFrame:
-    """(file, programme, object) of all objects below each programme; a cycle on a path is reported as an error."""
-    edges = graph.where("ref IS NOT NULL AND kind IN ('audioProgramme', 'audioContent', 'audioObject') AND ref_kind IN ('audioContent', 'audioObject')").select("file_id", F.col("id").alias("at"), F.col("ref").alias("next"))
+def leaf_objects(graph: DataFrame, depth: int | None = None) -> DataFrame:
+    """(file, programme, object) of all objects below each programme; a cycle on a path is reported as an error.
+
+    Levels end when no path is left to extend, or after ``depth`` of them where that is given.
+    """
+    edges = held(graph.where("ref IS NOT NULL AND kind IN ('audioProgramme', 'audioContent', 'audioObject') AND ref_kind IN ('audioContent', 'audioObject')").select("file_id", F.col("id").alias("at"), F.col("ref").alias("next")))
     walk = graph.where("kind = 'audioProgramme'").select("file_id", F.col("id").alias("programme"), F.col("id").alias("at"), F.array("id").alias("path")).distinct()
     seen = walk.select("file_id", "programme", "at", F.lit(False).alias("cycle"))
-    for _ in range(depth):
-        step = walk.join(edges, ["file_id", "at"]).withColumn("cycle", F.array_contains("path", F.col("next")))
+    level = 0
+    while (depth is None or level < depth) and not walk.isEmpty():
+        step = held(walk.join(edges, ["file_id", "at"]).withColumn("cycle", F.array_contains("path", F.col("next"))))
         seen = seen.unionByName(step.select("file_id", "programme", F.col("next").alias("at"), "cycle"))
         walk = step.where("NOT cycle").select("file_id", "programme", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+        level += 1
     objects = graph.where("kind = 'audioObject'").select("file_id", F.col("id").alias("at")).distinct()
     return seen.join(objects, ["file_id", "at"]).groupBy("file_id", "programme", F.col("at").alias("object")).agg(F.bool_or("cycle").alias("cycle"))

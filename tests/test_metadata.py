@@ -2,6 +2,7 @@
 
 import struct
 
+from sonolake.plans import graph_q
 from sonolake.sources import matroska as mk
 from sonolake.sources import metadata as md
 
@@ -28,6 +29,19 @@ def test_definition_graph(spark):
     assert {(r["object"], r["cycle"]) for r in md.leaf_objects(g, 6).collect()} == {("O1", True), ("O2", False), ("O3", False)}
 
 
+def test_leaf_objects_of_a_deep_chain(spark):
+    edge = lambda kind, i, ref_kind, ref: ("a", kind, i, i, ref_kind, ref, 0, None)
+    rows = [edge("audioProgramme", "P", "audioContent", "C"), edge("audioContent", "C", "audioObject", "O0"), *[edge("audioObject", f"O{k}", "audioObject", f"O{k + 1}") for k in range(20)], edge("audioObject", "O20", "audioObject", "O5")]
+    got = {(r["object"], r["cycle"]) for r in md.leaf_objects(spark.createDataFrame(rows, md.EDGE)).collect()}
+    assert got == {(f"O{k}", k == 5) for k in range(21)}
+
+
+def test_closure_of_a_deep_chain(spark, tmp_path):
+    spark.createDataFrame([(3**k,) for k in range(20)] + [(2,), (7,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in graph_q.closure(spark, str(tmp_path)).collect())
+    assert got == sorted([(3**k, 19 - k, 19 - k) for k in range(19)] + [(2, 1, 1)])
+
+
 def test_matroska_parses():
     frames = [bytes([i % 251]) * (i % 300 + 1) for i in range(200)]
     data = mk.matroska(frames, 1536, 48000, 6)
