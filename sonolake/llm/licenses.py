@@ -1,7 +1,8 @@
 """License scan: known licence sentences, then ordered rules over their identifiers.
 
-A text is cut into sentences, each normalised and looked up among known licence sentences; what is left is
-a sequence of identifiers (0: unknown).  Rules are sequences of identifiers in order of precedence: a rule
+A text is cut into pieces at stops and line breaks, and known licence sentences, normalised, are followed word by
+word over as many pieces as they span, so that wrapped ones are found; what is left is a sequence of identifiers
+(0: unknown).  List numbers before a known sentence are passed over.  Rules are sequences of identifiers in order of precedence: a rule
 matches where its identifiers follow one another, and claims those sentences, so that a later rule cannot
 use them again.  A rule's last sentences may be optional.
 
@@ -42,6 +43,12 @@ SENTENCES = {
     21: "Licensed under the MIT License",
     22: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: Further wordings by identifier; the whole sentences of which the entries above are the beginning.
+WORDINGS = [
+    (1, 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    (5, 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    (7, 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
+]
 #: Fixed values: (rule, licence, identifiers in order, how many of the last are optional), by precedence.
 RULES = [
     ("apache-notice", "Apache-2.0", (1, 2, 3), 1),
@@ -64,6 +71,9 @@ RULES = [
 #: A sentence ends at a stop before white space, or with its line; a comma or parenthesis does not end it.
 END = re.compile(r"[.;:!?](?=\s)|[\r\n]+")
 DROP = re.compile(r"[^0-9a-z]+")
+#: The number or letter of a list's entry: a piece of its own before a stop, the beginning of a piece before a parenthesis.
+LABEL = re.compile(r"[0-9]{1,3}|[a-z]|[ivx]{1,5}")
+LABELLED = re.compile(rf"\W*(?:{LABEL.pattern})\)\s", re.IGNORECASE)
 FIELDS = "doc_id long, rule string, license string, first_sentence int, n_sentences int, n_known int"
 
 
@@ -72,31 +82,48 @@ def normal(sentence: str) -> str:
     return DROP.sub(" ", sentence.lower()).strip()
 
 
-def sentence_table(sentences: dict[int, str] = SENTENCES) -> dict[str, int]:
-    """Normalised known sentence to identifier; a known text with inner stops is known by each way it is cut."""
-    return {normal(s): i for i, s in sentences.items()}
+def sentence_table(sentences: dict[int, str] = SENTENCES, wordings=WORDINGS) -> dict:
+    """Known sentences as a tree of words; the empty word leads to the identifier of the sentence that ends there."""
+    root: dict = {}
+    for i, s in [*sentences.items(), *((i, s) for i, s in wordings if i in sentences)]:
+        node = root
+        for word in normal(s).split():
+            node = node.setdefault(word, {})
+        node[""] = i
+    return root
+
+
+def cut(text: str) -> list[tuple[str, str]]:
+    """Pieces of a text, normalised and as they stand; those of no word are left out."""
+    return [(n, s) for s in END.split(text) if (n := normal(s))]
 
 
-def cut(text: str) -> list[str]:
-    """Normalised sentences of a text, empty ones left out."""
-    return [n for s in END.split(text) if (n := normal(s))]
+def longest(parts: list[str], i: int, table: dict, skip: int = 0) -> tuple[int, int]:
+    """Identifier and pieces of the longest known sentence that is pieces i and on without the first words; (0, 0) if none is."""
+    node, best = table, (0, 0)
+    for n in range(i, len(parts)):
+        for word in parts[n].split()[skip if n == i else 0 :]:
+            node = node.get(word)
+            if node is None:
+                return best
+        if "" in node:
+            best = node[""], n + 1 - i
+    return best
 
 
-def identify(text: str, table: dict[str, int]) -> list[int]:
-    """The identifier sequence of a text; a known sentence that holds stops is recognised across its pieces."""
-    parts = cut(text)
-    most = 1 + max((k.count(" v ") for k in table), default=0)
+def identify(text: str, table: dict) -> list[int]:
+    """The identifier sequence of a text: of a known sentence's pieces the first has the identifier, others have -1."""
+    pieces = cut(text)
+    parts = [n for n, _ in pieces]
     out, i = [], 0
     while i < len(parts):
-        for n in range(min(most, len(parts) - i), 0, -1):
-            known = table.get(" ".join(parts[i : i + n]))
-            if known:
-                out += [known] + [-1] * (n - 1)
-                i += n
-                break
-        else:
-            out.append(0)
-            i += 1
+        known, n = longest(parts, i, table)
+        if not known and LABELLED.match(pieces[i][1]):
+            known, n = longest(parts, i, table, 1)
+        elif not known and LABEL.fullmatch(parts[i]) and longest(parts, i + 1, table)[0]:
+            known, n = -1, 1
+        out += [known] + [-1] * (n - 1)
+        i += max(n, 1)
     return out
 
 

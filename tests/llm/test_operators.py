@@ -208,6 +208,79 @@ def test_license_rules(spark):
     assert licenses.scan(docs_of(spark, [])).collect() == []
 
 
+APACHE = """# Copyright 2020 A. Person
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla
+// Public License,
+// v. 2.0. If a copy of the MPL was not distributed with this file, get one.
+"""
+
+
+def test_licenses_as_they_stand_in_files(spark):
+    rows = [APACHE, MIT, BSD, BSD + BSD3, GPL, MPL, (BSD + BSD3).replace("1.", "(1)").replace("2.", "b)").replace("3.", "(iii)"), MIT.replace("\n", "\r\n")]
+    want = ["apache-notice 3", "mit-text 3", "bsd2-text 3", "bsd3-text 4", "gpl3-notice 3", "mpl-line 1", "bsd3-text 4", "mit-text 3"]
+    got = licenses.scan(docs_of(spark, list(enumerate(rows)))).collect()
+    assert sorted((r["doc_id"], f"{r['rule']} {r['n_sentences']}") for r in got) == list(enumerate(want))
+    # What only begins or goes on like a known sentence is none; a lone number counts as a sentence.
+    t = licenses.SENTENCES
+    rest = [GPL.split("either")[0], "Licensed under\nthe MIT\nLicense or not", f"{t[17]}:\n7.\n{t[18]}. 8. Else. {t[19]}.", f"{t[4]}\n3\n", f"A {t[4]}"]
+    assert [r["rule"] for r in licenses.scan(docs_of(spark, list(enumerate(rest)))).collect()] == ["mit-line"]
+    assert licenses.identify(rest[2], licenses.sentence_table()) == [17, -1, 18, 0, 0, 19]
+
+
 def test_mixing_against_plain_walk(spark):
     rng = random.Random(8)
     rows = [(i, sentence(rng, rng.randrange(0, 30)), rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src0", "src11", "src2", "odd", None])) for i in range(600)]
