@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,44 +14,89 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a local master gets a temporary folder; a cluster has no folder that all would see, and must
+    name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sonolake-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sonolake-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _cleaning = threading.Lock(), {"writes": 0, "before": None}
+
+
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession):
+    """Shuffle files go when a write ends; the setting returns to what it was when the last of concurrent writes does."""
+    with _lock:
+        if not _cleaning["writes"]:
+            _cleaning["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _cleaning["writes"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _cleaning["writes"] -= 1
+            if not _cleaning["writes"]:
+                if _cleaning["before"] is None:
+                    spark.conf.unset(CLEANUP)
+                else:
+                    spark.conf.set(CLEANUP, _cleaning["before"])
+
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+
+def stage(df: DataFrame, name: str, done: tuple | list = ()) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files of the write go when it ends, as the table stands in their place.
+    The shuffle files of the write go when it ends, as the table stands in their place.  ``done`` are staged tables that
+    nothing reads after this one is written; they are deleted.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = new_folder(spark, name)
+    with _shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in done:
+        delete(spark, old.staged_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def text_bytes(docs: DataFrame, *columns: str) -> int:
+    """Bytes of text columns, counted over all rows."""
+    total = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0))
+    return int(docs.agg(F.coalesce(F.sum(total.cast("long") + 1), F.lit(0))).first()[0])
 
 
-def size_hint(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of a table (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def chunk_count(total_bytes: int, chunk_bytes: float) -> int:
+    """How many chunks of about ``chunk_bytes`` so many bytes of text make; four at least."""
+    return int(max(4, -(-total_bytes // int(chunk_bytes))))
 
 
-def chunk_count(docs: DataFrame, chunk_mb: float, least: int = 48) -> int:
-    """How many chunks of about chunk_mb compressed MB a table makes; a table of a few MB makes fewer."""
-    mb = min(size_hint(docs) / 1e6, 1e9)
-    return int(max(4 if mb < 8 else least, -(-mb // chunk_mb)))
+def tasks_for(chunks: int, each: int = 4) -> int:
+    """Partitions over which chunks are dealt, so that a task's share does not grow with the table."""
+    return max(4, -(-chunks // each))
 
 
 class Ids(dict):
@@ -85,7 +132,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunked(docs: DataFrame, chunks: int, *columns: str) -> DataFrame:
+def chunked(docs: DataFrame, chunks: int, *columns) -> DataFrame:
     """(chunk, *columns): rows dealt into chunks by a hash of id and text."""
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), *columns)
 
@@ -162,7 +209,7 @@ def connected_components(edges: DataFrame, salts: int = 32) -> DataFrame:
                 .otherwise(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
             ).alias("x")
         ).select("x.u", "x.v").distinct()
-        e = stage(small, "small")
+        e = stage(small, "small", [e, large])
         seen = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(seen) == mark:
             break

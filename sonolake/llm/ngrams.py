@@ -9,11 +9,14 @@ of a text carries the state and adds up log-probabilities.
 Documents are dealt into chunks.  A chunk's distinct n-gram hashes, with their counts in training rows, go
 to buckets of the hash range; a bucket adds up what all chunks send and answers each chunk in the order
 that it asked.  A chunk then builds the part of the automaton that its own texts can reach.  A frequent
-n-gram is one entry of each chunk, however often it occurs.
+n-gram is one entry of each chunk, however often it occurs; buckets and tasks grow in number with the
+chunks, so that neither grows in size.  Words have hashes of 64 bits, longer n-grams of ``SPARE`` bits more
+than it takes to number the corpus' tokens, so that one of them meets another with probability 2**-SPARE.
 
 Tokens are words between white space, lower-cased in A-Z, then one end for each text.  Defined results: a
 null text is empty (one token, the end); rows with a null doc_id are in training (their remainder is not
-1); repeated rows count again; an empty table gives no rows; with no training rows, N and V are 0.
+1); repeated rows count again; a text of any length is one sequence; columns other than doc_id and text are
+not read, whatever their names; an empty table gives no rows; with no training rows, N and V are 0.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, unpack_numbers, unpack_sorted
+from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, tasks_for, text_bytes, unpack_numbers, unpack_sorted
 
-ORDER = 2
+ORDER = 3
+SPARE = 20
 #: The strength b of the lower order in each interpolation.
 STRENGTH = 8.0
-CHUNK_MB = 2.5
+CHUNK_BYTES = 4 << 20
 END, START = b"\n", b"\n\n"  # no word holds white space
 SENT = "kind int, chunk int, bucket int, keys binary, counts binary"
 ANSWER = "kind int, chunk int, bucket int, counts binary, total long, kinds long"
@@ -44,7 +48,7 @@ def held_out(doc_id: Column) -> Column:
 class Chunk:
     """Token sequences of a chunk's texts, each between a start and an end, and their n-gram hashes."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, order: int):
+    def __init__(self, texts: list[bytes], train: np.ndarray, order: int, bits: int = 64):
         ids = Ids({START: 0, END: 1})
         number = ids.__getitem__
         runs, sizes = [], []
@@ -71,7 +75,7 @@ class Chunk:
             if k > 1:
                 gram = np.concatenate([gram[:1], mix64(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[self.tokens[1:]])])
             at = np.flatnonzero(depth >= k - 1)
-            keys, index = np.unique(gram[at], return_inverse=True)
+            keys, index = np.unique(gram[at] >> np.uint64(64 - bits) if k > 1 else gram[at], return_inverse=True)
             where = np.full(len(self.tokens), -1, np.int32)
             where[at] = index
             self.grams.append((keys, np.bincount(index[seen[at]], minlength=len(keys)), where))
@@ -81,14 +85,12 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [b if b is not None else b"" for b in table.column("text").combine_chunks().to_pylist()]
 
 
-def _asks(order: int, buckets: int):
-    shift = np.uint64(64 - (buckets - 1).bit_length())
-
+def _asks(order: int, buckets: int, bits: int):
     def work(table: pa.Table) -> pa.Table:
-        chunk = Chunk(_texts(table), table.column("train").to_numpy(), order)
+        chunk = Chunk(_texts(table), table.column("train").to_numpy(), order, bits)
         rows = []
         for k, (keys, counts, _) in enumerate(chunk.grams):
-            of = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+            of = (keys >> np.uint64((bits if k else 64) - (buckets - 1).bit_length())).astype(np.int64)
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
                 rows.append((k + 1, table.column("chunk")[0].as_py(), int(of[a]), pack_sorted(keys[a:b]), pack_numbers(counts[a:b])))
@@ -192,12 +194,12 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(order: int, n: int, v: int, strength: float):
+def _scores(order: int, n: int, v: int, strength: float, bits: int):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table([], SCORES)
         train = docs.column("train").to_numpy()
-        chunk = Chunk(_texts(docs), train, order)
+        chunk = Chunk(_texts(docs), train, order, bits)
         parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "counts"))), key=lambda r: r[:2])
         counts = [np.concatenate([np.empty(0, np.int64), *(unpack_numbers(x) for kind, _, x in parts if kind == k)]) for k in range(1, order + 1)]
         m = Automaton(chunk, counts, n, v, strength)
@@ -210,17 +212,19 @@ def _scores(order: int, n: int, v: int, strength: float):
     return work
 
 
-def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk_mb: float = CHUNK_MB) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk_bytes: float = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    chunks = chunk_count(docs, chunk_mb)
+    total = text_bytes(docs, "text")
+    chunks = chunk_count(total, chunk_bytes)
+    tasks, bits = tasks_for(chunks), min(64, SPARE + max(20, total.bit_length()))
     buckets = 1 << max(2, (chunks // 3).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), (~held_out(F.col("doc_id").cast("long"))).alias("train"))
-    base = chunked(rows, chunks, "doc_id", "train", "text")
-    asks = base.groupBy("chunk").applyInArrow(_asks(order, buckets), SENT)
+    base = chunked(rows, chunks, "doc_id", "train", "text").repartition(tasks, "chunk")
+    asks = base.groupBy("chunk").applyInArrow(_asks(order, buckets, bits), SENT).repartition(tasks, "kind", "bucket")
     answers = stage(asks.groupBy("kind", "bucket").applyInArrow(_answers, ANSWER), "ngram_counts")
     # The start of each text is a token of the sequences but of neither N nor V.
     got = answers.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     texts = rows.where("train").count()
     n, v = got[0] - texts, got[1] - (texts > 0)
-    scored = base.groupBy("chunk").cogroup(answers.select("chunk", "kind", "bucket", "counts").groupBy("chunk"))
-    return scored.applyInArrow(_scores(order, int(n), int(v), strength), SCORES)
+    side = answers.select("chunk", "kind", "bucket", "counts").repartition(tasks, "chunk")
+    return base.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(_scores(order, int(n), int(v), strength, bits), SCORES)

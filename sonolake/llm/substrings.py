@@ -27,15 +27,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, unpack_numbers, unpack_sorted
+from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, tasks_for, text_bytes, unpack_numbers, unpack_sorted
 
 L, Q = 50, 24
 HOT = 2048
 RUN = 256  # suffixes in a run at most
 PIECE = 1 << 20
 SLAB = 1 << 20
-CHUNK_MB = 2.5
+CHUNK_BYTES = 4 << 20
 COVER, MOD = (0, 1, 3), 7
 LAST = np.iinfo(np.int64).max
 GRAM_B = 0x100000001B3
@@ -352,9 +353,9 @@ def whole_characters(b: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.bincount(character, weights=gone)[character] > 0
 
 
-def _apply(carry: list[str], schema, characters: bool):
+def _apply(characters: bool):
     def work(docs: pa.Table, side: pa.Table) -> pa.Table:
-        fixed = [docs.column(c).combine_chunks() for c in carry]
+        fixed = docs.column("__row").combine_chunks()
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         if docs.num_rows:
             texts, ids, e, order = _entries(docs, side)
@@ -373,30 +374,34 @@ def _apply(carry: list[str], schema, characters: bool):
                 b = np.frombuffer(text, np.uint8)
                 kept.append(b[~(whole_characters(b, gone) if characters else gone)].tobytes() if n_removed[-1] else text)
         new = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
-        return pa.table(fixed + new, names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([fixed, *new], names=["__row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return work
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_mb: float = CHUNK_MB, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, chunk_bytes: float = CHUNK_BYTES, characters: bool = False) -> DataFrame:
     """The columns ``carry`` (doc_id, if none are named) of every row with n_bytes, n_removed, n_spans and the kept bytes.
 
-    With ``characters``, what is kept loses the rest of characters that are cut, and so is UTF-8 again.
+    With ``characters``, what is kept loses the rest of characters that are cut, and so is UTF-8 again.  Carried columns
+    may have any names but those four.
     """
     carry = carry or ["doc_id"]
-    chunks = chunk_count(docs, chunk_mb)
-    bits = max(2, chunks.bit_length())
-    shift = np.uint64(64 - bits)
-    rows = docs.select(*carry, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").cast("binary").alias("__text"))
-    base = chunked(rows.withColumns({"doc_id": F.col("__id"), "text": F.col("__text")}), chunks, *(c for c in rows.columns if c not in ("doc_id", "text")), *(["doc_id"] if "doc_id" in carry else []))
-    base = base.withColumnRenamed("chunk", "__chunk")
+    chunks = chunk_count(text_bytes(docs, "text"), chunk_bytes)
+    tasks = tasks_for(chunks)
+    shift = np.uint64(64 - max(2, chunks.bit_length()))
+    # Carried columns travel as one struct, so that no name of theirs meets a name of the layout.
+    held = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
+    rows = docs.select(held.alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    base = chunked(rows, chunks, "__row", F.col("doc_id").alias("__id"), F.col("text").alias("__text")).withColumnRenamed("chunk", "__chunk").repartition(tasks, "__chunk")
     lean = base.select("__chunk", "__id", "__text")
-    minimizers = lean.groupBy("__chunk").applyInArrow(_ask_minimizers(shift), MARKS)
+    minimizers = lean.groupBy("__chunk").applyInArrow(_ask_minimizers(shift), MARKS).repartition(tasks, "bucket")
     codes = stage(minimizers.groupBy("bucket").applyInArrow(_answer_minimizers, MARKS), "minimizers")
-    asked = lean.groupBy("__chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_ask_runs(shift), MARKS)
+    asked = lean.groupBy("__chunk").cogroup(codes.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_ask_runs(shift), MARKS).repartition(tasks, "bucket")
     answers = stage(asked.groupBy("bucket").applyInArrow(_answer_runs, MARKS), "runs")
-    schema = rows.select(*carry).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return base.groupBy("__chunk").cogroup(codes.unionByName(answers).groupBy("chunk")).applyInArrow(_apply(carry, schema, characters), schema)
+    side = codes.unionByName(answers).repartition(tasks, "chunk")
+    schema = StructType([StructField("__row", base.schema["__row"].dataType)]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    got = base.groupBy("__chunk").cogroup(side.groupBy("chunk")).applyInArrow(_apply(characters), schema)
+    return got.select(*[F.col(f"__row.c{k}").alias(c) for k, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def oracle(table: str = "documents") -> str:

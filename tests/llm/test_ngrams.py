@@ -12,8 +12,8 @@ from test_operators import corpus, docs_of
 from sonolake.llm import ngrams
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_against_recursive_definition(spark, order):
+@pytest.mark.parametrize("order,chunk_bytes", [(1, 4 << 20), (2, 4000), (3, 3000), (3, 60_000), (4, 4 << 20)])
+def test_against_recursive_definition(spark, order, chunk_bytes):
     rows = [(d, t) for d, t in corpus() if d != 206] + [(None, "Lorem ipsum of nobody"), (300, "é É ÀB ab"), (301, "unseen words only" if zlib.crc32(b"301") % 5 == 1 else "plain")]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     seqs = [["<s>", *[x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x], "</s>"] for _, t in rows]
@@ -34,7 +34,7 @@ def test_against_recursive_definition(spark, order):
     for (d, _), s in zip(rows, seqs):
         total = sum(log10(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
         want[d] = (held(d), len(s) - 1, sum(c[w,] > 0 for w in s[1:]), n, sum(log10(p((), w)) for w in s[1:]), total)
-    got = ngrams.score(docs_of(spark, rows), order=order).collect()
+    got = ngrams.score(docs_of(spark, rows), order=order, chunk_bytes=chunk_bytes).collect()
     assert len(got) == len(rows)
     for r in got:
         w = want[r["doc_id"]]
