@@ -5,9 +5,14 @@ class probabilities.  Embeddings and softmax are trained together by stochastic
 on a bounded sample of labelled rows; a part of the sample is held back to calibrate a temperature and the
 score under which a prediction is rejected.  Every text is scored whole, on executors, in blocks.
 
-Defined results: a null text, an empty one, or one without a letter is 'und' with score 0 and rejected;
-rows with a null doc_id are never trained on and are not held out; with no labelled rows at all, or an
-empty table, every text is 'und'.
+The sample is drawn from all labelled texts, cut whole into pieces of ``PIECE`` characters: at most ``SAMPLE_ROWS``
+pieces of a language and ``SAMPLE_ALL`` in all, evenly over languages, so that neither long texts nor rare languages
+are left out.
+
+Defined results: a null text, an empty one, or one without a letter is 'und' with score 0 and rejected; of languages
+with equal scores the first by name is predicted; rows with a null doc_id are never trained on and are not held out;
+repeated rows are scored each, and count once in the sample; columns that are carried may have any names; with no
+labelled rows at all, or an empty table, every text is 'und'.
 """
 
 from __future__ import annotations
@@ -16,11 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Bounds of the training sample: rows of a language, languages, and bytes of a text that is sampled.
-SAMPLE_ROWS, SAMPLE_LANGS, SAMPLE_BYTES = 1500, 200, 20_000
+from .common import stage
+
+#: Bounds of the training sample: pieces of texts of a language and of all, characters of a piece.
+SAMPLE_ROWS, SAMPLE_ALL, PIECE = 1500, 20_000, 2000
+#: Languages up to which their counts are broadcast; beyond, they are joined.
+BROADCAST_LANGS = 50_000
 #: Share of clean calibration rows that rejection may cost.
 REJECT = 0.001
 UND = "und"
@@ -50,13 +60,14 @@ def prepare(text: str) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # what each bucket adds to each class' logit
+    table: np.ndarray  # by bucket: what it adds to each class' logit, or its embedding where classes outnumber dimensions
+    out: np.ndarray  # from a mean row of the table to logits
     bias: np.ndarray
     temperature: float
     least: float  # scores below are rejected
 
     def logits(self, text: str) -> np.ndarray:
-        data, total, n = prepare(text), np.zeros(len(self.langs)), 0
+        data, total, n = prepare(text), np.zeros(self.table.shape[1]), 0
         over = max(ORDERS) - 1
         for at in range(0, max(1, len(data) - over), BLOCK):
             piece = data[at : at + BLOCK + over]
@@ -65,7 +76,7 @@ class Model:
                 idx = np.concatenate([ngrams(piece[: BLOCK + k - 1], (k,)) for k in ORDERS])
             total += np.take(self.table, idx, axis=0).sum(axis=0, dtype=np.float64)
             n += len(idx)
-        return total / max(1, n) + self.bias
+        return self.out @ (total / max(1, n)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it is accepted."""
@@ -82,13 +93,14 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 6.0, seed:
     """Fit (text, lang) rows by SGD; a fifth of them calibrates."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     langs = sorted({lang for _, lang in rows})
+    number = {lang: k for k, lang in enumerate(langs)}
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     feats = []
     for text, lang in rows:
         u, c = np.unique(ngrams(prepare(text)), return_counts=True)
-        feats.append((u, (c / c.sum()).astype(np.float32), langs.index(lang)))
+        feats.append((u, (c / c.sum()).astype(np.float32), number[lang]))
     order = rng.permutation(len(feats))
     held = order[: len(order) // 5] if len(order) >= 50 else order
     fit = order[len(order) // 5 :] if len(order) >= 50 else order
@@ -110,9 +122,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 6.0, seed:
             out -= (lr * np.float32(0.5)) * np.outer(g, h)
             bias -= (lr * np.float32(0.05)) * g
             emb[u] = e - np.outer(w * lr, back)
-    table = (emb @ out.T).astype(np.float32)
-    model = Model(langs, table, bias.astype(np.float64), 1.0, 0.0)
-    z = np.array([w @ table[u] + bias for u, w, _ in (feats[i] for i in held)], np.float64)
+    few = len(langs) <= DIM
+    table, last = ((emb @ out.T).astype(np.float32), np.eye(len(langs))) if few else (emb, out.astype(np.float64))
+    model = Model(langs, table, last, bias.astype(np.float64), 1.0, 0.0)
+    z = np.array([last @ (w @ table[u]) + bias for u, w, _ in (feats[i] for i in held)], np.float64)
     y = np.array([feats[i][2] for i in held])
 
     def probs(t):
@@ -132,17 +145,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, langs: int = SAMPLE_LANGS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """At most about rows x langs labelled texts of the training folds, drawn by a hash of the id, evenly over languages."""
-    x = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = x.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
-    if not counts:
-        return []
-    space = 1 << 30
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, rows / r["count"]) * space))])
-    y = x.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share[F.col("lang")]).where(F.octet_length("text") <= most_bytes)
-    y = y.orderBy(F.xxhash64("doc_id"), "text").limit(2 * rows * min(langs, len(counts)))
-    return [(r["text"], r["lang"]) for r in y.select("text", "lang").collect()]
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_ALL, piece: int = PIECE) -> list[tuple[str, str]]:
+    """Labelled pieces of the training folds' texts, drawn by a hash of id and place, evenly over languages.
+
+    About ``rows`` of each language, or its share of ``most`` where languages are many; one at least.
+    """
+    x = docs.select(F.col("doc_id").alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    x = x.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
+    x = x.select("doc", "lang", "text", F.greatest(F.lit(1), F.ceil(F.length("text") / piece)).cast("int").alias("pieces"))
+    counts = x.groupBy("lang").agg(F.sum("pieces").alias("n"))
+    counts = stage(counts, "languages")
+    langs = counts.count()
+    each = max(1, min(rows, most // max(1, langs)))
+    space = float(1 << 63)
+    places = x.join(F.broadcast(counts) if langs <= BROADCAST_LANGS else counts, "lang").withColumn("share", F.least(F.lit(1.0), 2.0 * each / F.col("n")))
+    # Places are drawn before any text is cut.
+    picked = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: (F.xxhash64("doc", k).cast("double") / space + 1) / 2 < F.col("share"))
+    taken = places.withColumn("place", F.explode(picked)).select("doc", "lang", "place", F.expr(f"substring(text, place * {piece} + 1, {piece})").alias("text")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc", "place"), "doc", "text"))
+    taken = taken.withColumn("rank", first).where(F.col("rank") <= each)
+    return [(r["text"], r["lang"]) for r in taken.select("text", "lang").collect()]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -150,22 +172,33 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id, if none are named) with lang_pred, score and accepted of every text."""
+    """The columns ``keep`` (doc_id, if none are named) with lang_pred, score and accepted of every text.
+
+    Of columns of the same names, the new ones are the last three.
+    """
     keep = keep or ["doc_id"]
-    x = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x at most SAMPLE_LANGS
+    held = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    x = docs.select(held.alias("row"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x at most DIM, and DIM for each language
 
     def score(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            got = [m.predict(t.as_py()) for t in texts]
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            got = [m.predict(t.as_py()) for t in batch.column(1)]
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
-            yield pa.record_batch(cols + new, names=[*keep, "lang_pred", "score", "accepted"])
+            yield pa.record_batch([batch.column(0), *new], names=["row", "lang_pred", "score", "accepted"])
+
+    schema = StructType([x.schema["row"]]).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    got = x.mapInArrow(score, schema)
+    return got.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "accepted")
+
 
-    schema = x.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return x.mapInArrow(score, schema)
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is accepted, all columns as they are."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    texts = plain.select("*", F.col(f"c{docs.columns.index('text')}").alias("text"))
+    got = predict(texts, model, plain.columns).where("accepted")
+    return got.select(*plain.columns).toDF(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

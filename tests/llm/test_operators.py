@@ -116,6 +116,20 @@ def test_language_edges(spark):
     assert langid.identify(docs_of(spark, [(1, "no labels here")])).first()["lang_pred"] == "und"
 
 
+def test_language_of_long_texts_is_learned(spark):
+    """Long texts are sampled by pieces; repeated rows, ties and more languages than dimensions are no trouble."""
+    rows = [(i, "le la des une bonjour " * 1200, "fr") for i in range(60)] + [(100 + i, "the and of this with that", "en") for i in range(60)] + [(100, "the and of this with that", "en")] * 5
+    pieces = langid.sample(docs_of(spark, rows), rows=30)
+    assert {lang for _, lang in pieces} == {"fr", "en"} and max(len(t) for t, _ in pieces) <= langid.PIECE
+    got = langid.identify(docs_of(spark, [*rows, (500, "bonjour la une", None), (500, "bonjour la une", None)])).collect()
+    assert len(got) == len(rows) + 2 and all(r["lang_pred"] == ("en" if 100 <= r["doc_id"] < 200 else "fr") for r in got)
+    many = langid.train([(f"word{k} of{k} tongue{k}", f"x{k:02d}") for k in range(40) for _ in range(40)])
+    assert many.table.shape[1] == langid.DIM and np.mean([many.predict(f"word{k} of{k} tongue{k}")[0] == f"x{k:02d}" for k in range(40)]) > 0.9
+    same = langid.train([("one text", "b"), ("one text", "a")] * 2)
+    same.table[:], same.bias[:] = 0, 0
+    assert same.predict("one text")[0] == "a"
+
+
 def test_language_blocks_equal_whole(monkeypatch):
     m = langid.train([("the and of " * 9, "en"), ("le la les " * 9, "fr")] * 30)
     text = "the and les of la " * 500
