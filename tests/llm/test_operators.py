@@ -165,7 +165,8 @@ def test_items_that_stand_in_a_text_are_leaks():
         assert q + a == decontam.words(t) and q and a
 
 
-def test_leaks_against_scan_of_all(spark):
+@pytest.mark.parametrize("shard", [1000, 7])
+def test_leaks_against_scan_of_all(spark, shard):
     rng = random.Random(4)
     items = [(i, sentence(rng, rng.randrange(10, 130)) + ". " + sentence(rng, rng.randrange(4, 9)) + ".") for i in range(60)]
     rows = [(i, sentence(rng, rng.randrange(5, 900))) for i in range(60)]
@@ -174,7 +175,7 @@ def test_leaks_against_scan_of_all(spark):
         at = rng.randrange(300)
         rows.append((100 + k, " ".join([*host[:at], items[k][1].upper() if k % 2 else items[k][1], *host[at:]])))
     rows += [(200, items[0][1].split(". ")[0]), (201, None), (202, ""), (None, items[1][1])]
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, rows), spark.createDataFrame([*items, (98, None), (99, ""), (97, items[1][1])], "item_id long, text string")).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, rows), spark.createDataFrame([*items, (98, None), (99, ""), (97, items[1][1])], "item_id long, text string"), shard=shard).collect()}
     want = set()
     for d, t in rows:
         have = decontam.words(t)
@@ -200,9 +201,32 @@ def test_items_of_frequent_terms_are_leaks(items):
     assert max(r for r, _ in got) < 2 * len(items)
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    rng = random.Random(21)
+    items = spark.createDataFrame([(i, sentence(rng, rng.randrange(12, 80)) + ". " + sentence(rng, 6), "x", "y") for i in range(120)], "item_id long, text string, key string, shard string")
+    texts = [(i, r["text"]) for i, r in enumerate(items.orderBy("item_id").collect())]
+    a, b = ({(r["doc_id"], r["item_id"]): r["score"] for r in decontam.leaks(docs_of(spark, texts), items, shard=n).collect()} for n in (1000, 11))
+    assert a.keys() == b.keys() >= {(i, i) for i in range(120)} and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    assert decontam.leaks(docs_of(spark, texts), items.limit(0)).collect() == [] and decontam.leaks(docs_of(spark, []), items).collect() == []
+    assert decontam.drop_leaks(docs_of(spark, texts), items.limit(0)).count() == 120 and decontam.drop_leaks(docs_of(spark, texts), items).count() == 0
+
+
+def test_long_texts_and_parts_that_stand_apart(monkeypatch):
+    rng = random.Random(22)
+    q, a = sentence(rng, 14), sentence(rng, 12)
+    index = decontam.build([(k, f"{sentence(rng, 14)}. {sentence(rng, 12)}.") for k in range(40)] + [(99, f"{q}. {a}.")])
+    far = f"{q} " + sentence(rng, 900) + f" {a}"
+    long = sentence(rng, 3000) + f" {q}. {a}. " + sentence(rng, 3000)
+    want = decontam.search(index, [far, long])
+    assert [(r, k) for r, k, *_ in want] == [(0, 99), (1, 99)]
+    monkeypatch.setattr(decontam, "PIECE", 3)
+    monkeypatch.setattr(decontam, "GROUP", 100)
+    assert decontam.search(index, [far, long]) == want
+
+
 def test_window_bound_loses_no_unit(monkeypatch):
     rng = random.Random(13)
-    items = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 60))) + ". " + sentence(rng, i % 3)) for i in range(200)]
+    items = [(i, " ".join([*[rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(6, 60))], *(sentence(rng, i % 7).split())]) + ". " + sentence(rng, i % 3)) for i in range(200)]
     texts = [" ".join([sentence(rng, 70), items[rng.randrange(200)][1], *[rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(90))]]) for _ in range(60)]
     index = decontam.build(items)
     assert (index.frequent >= decontam.THRESHOLD).any() and (index.frequent < decontam.THRESHOLD).any()
