@@ -9,8 +9,9 @@ takes whole epochs and a token-prefix of one more, each epoch in its own seeded
 All DataFrame operations.  A leaf's prefix is found from token sums of hash buckets; only the bucket in
 which the budget ends is ordered row by row, so a leaf with a third of all rows stays spread out.
 
-Defined results: null text has no tokens; null language or source is the value 'none'; a document
-without tokens is never selected; repeated ids are separate rows that tie in order (by text, then source
+Defined results: null text has no tokens; null language or source is the value 'none'; a row without an id
+stands in an epoch's order by its text; a document without tokens is never selected; a text of any length is counted
+whole; other columns are not read, whatever their names; repeated ids are separate rows that tie in order (by text, then source
 and language; rows equal in all of these stand or fall together); an empty table selects nothing.
 """
 
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROWS, max_e
     # A copy of a row for each epoch that its leaf reaches; the leaf side is staged, so AQE can split a hot leaf.
     x = rows.join(plan.select(*leaf, "epochs", "rest", "buckets"), leaf)
     x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-    x = x.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary")))
+    x = x.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), "tie"))).cast("binary")))
     x = x.withColumn("bucket", F.expr("(cast(conv(substring(key, 1, 7), 16, 10) as bigint) * buckets) div 268435456"))
     whole = x.where("epoch < epochs").select("doc_id", *leaf, "epoch", "n_tokens")
     last = stage(x.where("epoch = epochs AND rest > 0").select("doc_id", *leaf, "epoch", "n_tokens", "tie", "rest", "bucket", "key"), "last_epoch")
@@ -147,7 +148,7 @@ s0 AS (SELECT domain, lang, source, tokens, tokens * {MAX_EPOCHS} AS cap, {_case
 {_fill_sql("s1", "s0", "domain, lang", "b2", "source", "take", "domain, lang, source, tokens")},
 plan AS (SELECT *, CAST(take // tokens AS INT) AS epochs, take % tokens AS rest FROM s1 WHERE take > 0),
 x AS (SELECT rows_.*, epochs, rest, CAST(e.i AS INT) AS epoch FROM rows_ JOIN plan USING (domain, lang, source), range(0, {MAX_EPOCHS + 1}) e(i) WHERE e.i <= epochs),
-k AS (SELECT *, md5('{SEED}:' || CAST(epoch AS VARCHAR) || ':' || COALESCE(CAST(doc_id AS VARCHAR), 'none')) AS key FROM x),
+k AS (SELECT *, md5('{SEED}:' || CAST(epoch AS VARCHAR) || ':' || COALESCE(CAST(doc_id AS VARCHAR), 'none:' || tie)) AS key FROM x),
 y AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY key, tie RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, domain, lang, source, epoch, n_tokens FROM y WHERE epoch < epochs OR upto <= rest
 """

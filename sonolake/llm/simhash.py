@@ -8,7 +8,8 @@ stars of its links, not all of them.  Components join the stars.
 
 Equal fingerprints are one row throughout, so groups of copies cost nothing.  Defined results: a null or
 empty text, or one without words, has fingerprint zero and is linked like any other; rows with a null
-doc_id get a fingerprint and a null component; repeated ids are one node; an empty table gives no rows.
+doc_id get a fingerprint and a null component; repeated ids are one node; a text of any length is read whole;
+other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import connected_components, stage, union_find
 
@@ -54,15 +56,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, fp, *carry): fp is the fingerprint as a signed long."""
 
     def work(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *carry)
+    return x.mapInArrow(work, StructType([*StructType().add("doc_id", "long").add("fp", "long").fields, *x.schema.fields[2:]]))
 
 
 def _part_counts(fp):
@@ -131,6 +134,32 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return pairs.mapInArrow(work, "u long, v long")
 
 
+def first_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each component of linked fingerprints, all columns as they are: that with the smallest id.
+
+    Rows are judged each by their own text, whatever rows have the same id: of a repeated id's rows, those linked to a
+    kept one go.  Of rows that are equal in id and fingerprint the first by text and all else stays; rows with a null
+    doc_id belong to no component and stay.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    key, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    fps = stage(fingerprints(docs).where("doc_id IS NOT NULL"), "fingerprints")
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct_fps")
+    parts = connected_components(links(distinct.select("fp", F.col("fp").alias("id")), radius, tile))
+    labelled = distinct.join(stage(parts, "components").withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = labelled.groupBy("component").agg(F.min(F.struct("id", "fp")).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp"))
+    rows = fps.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = stage(best.join(rows, "__id"), "kept", [fps, distinct])
+    once = plain.join(kept.where("__rows = 1"), key.cast("long") == F.col("__id"), "left_semi")
+    again = plain.join(kept.where("__rows > 1"), key.cast("long") == F.col("__id"), "left_semi")
+    struct = F.struct(*plain.columns)
+    again = fingerprints(again.select(key.alias("doc_id"), text.alias("text"), struct.alias("row")), "row").join(kept.select(F.col("__id").alias("doc_id"), F.col("__fp").alias("fp")), ["doc_id", "fp"])
+    first = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(F.col(f"row.c{names.index('text')}"), F.to_json("row")))
+    again = again.withColumn("n", first).where("n = 1").select("row.*")
+    return once.unionByName(again).unionByName(plain.where(key.isNull())).toDF(*names)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     fps = stage(fingerprints(docs), "fingerprints")

@@ -78,6 +78,16 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).collect() == []
 
 
+def test_simhash_first_of_each_judges_rows(spark):
+    rng = random.Random(15)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, c), (4, c), (None, a), (None, a), (5, None), (6, "")]
+    got = simhash.first_of_each(docs_of(spark, rows), tile=8)
+    assert got.columns == DOCS.names
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect()) == sorted([("1", a), ("1", b), ("3", c), ("None", a), ("None", a), ("5", "")])
+    assert simhash.first_of_each(docs_of(spark, [])).collect() == []
+
+
 def test_simhash_links_every_near_pair(spark):
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(300)]
@@ -354,7 +364,7 @@ def test_mixing_against_plain_walk(spark):
                 rows_ = leaves[dom, lang, source]
                 for epoch in range(take // tokens[dom, lang, source] + 1):
                     rest = take - epoch * tokens[dom, lang, source]
-                    keys = sorted((hashlib.md5(f"mix:{epoch}:{'none' if d is None else d}".encode()).hexdigest(), tie, -1 if d is None else d, n) for d, n, tie in rows_)
+                    keys = sorted((hashlib.md5(f"mix:{epoch}:{'none:' + tie if d is None else d}".encode()).hexdigest(), tie, -1 if d is None else d, n) for d, n, tie in rows_)
                     for key in sorted({k[:2] for k in keys}):
                         same = [k for k in keys if k[:2] == key]
                         rest -= sum(k[3] for k in same)
