@@ -5,9 +5,9 @@ class probabilities.  Embeddings and softmax are trained together by stochastic
 on a bounded sample of labelled rows; a part of the sample is held back to calibrate a temperature and the
 score under which a prediction is rejected.  Every text is scored whole, on executors, in blocks.
 
-The sample is drawn from all labelled texts, cut whole into pieces of ``PIECE`` characters: at most ``SAMPLE_ROWS``
-pieces of a language and ``SAMPLE_ALL`` in all, evenly over languages, so that neither long texts nor rare languages
-are left out.
+The sample is drawn from all labelled rows, at most ``SAMPLE_ROWS`` of a language and ``SAMPLE_ALL`` in all, evenly over
+languages; a text of over ``PIECE`` characters is cut whole into pieces, of which one is drawn.  So neither long texts
+nor rare languages are left out.
 
 Defined results: a null text, an empty one, or one without a letter is 'und' with score 0 and rejected; of languages
 with equal scores the first by name is predicted; rows with a null doc_id are never trained on and are not held out;
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from .common import stage
 
-#: Bounds of the training sample: pieces of texts of a language and of all, characters of a piece.
+#: Bounds of the training sample: rows of a language and of all, characters of a row.
 SAMPLE_ROWS, SAMPLE_ALL, PIECE = 1500, 20_000, 2000
 #: Languages up to which their counts are broadcast; beyond, they are joined.
 BROADCAST_LANGS = 50_000
@@ -146,25 +146,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_ALL, piece: int = PIECE) -> list[tuple[str, str]]:
-    """Labelled pieces of the training folds' texts, drawn by a hash of id and place, evenly over languages.
+    """Labelled texts of the training folds, drawn by a hash of the id, evenly over languages; of long ones a drawn piece.
 
-    About ``rows`` of each language, or its share of ``most`` where languages are many; one at least.
+    At most ``rows`` of each language, or its share of ``most`` where languages are many; one at least.
     """
     x = docs.select(F.col("doc_id").alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     x = x.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
-    x = x.select("doc", "lang", "text", F.greatest(F.lit(1), F.ceil(F.length("text") / piece)).cast("int").alias("pieces"))
-    counts = x.groupBy("lang").agg(F.sum("pieces").alias("n"))
-    counts = stage(counts, "languages")
+    counts = stage(x.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     langs = counts.count()
     each = max(1, min(rows, most // max(1, langs)))
-    space = float(1 << 63)
-    places = x.join(F.broadcast(counts) if langs <= BROADCAST_LANGS else counts, "lang").withColumn("share", F.least(F.lit(1.0), 2.0 * each / F.col("n")))
-    # Places are drawn before any text is cut.
-    picked = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: (F.xxhash64("doc", k).cast("double") / space + 1) / 2 < F.col("share"))
-    taken = places.withColumn("place", F.explode(picked)).select("doc", "lang", "place", F.expr(f"substring(text, place * {piece} + 1, {piece})").alias("text")).distinct()
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc", "place"), "doc", "text"))
-    taken = taken.withColumn("rank", first).where(F.col("rank") <= each)
-    return [(r["text"], r["lang"]) for r in taken.select("text", "lang").collect()]
+    x = x.join(F.broadcast(counts) if langs <= BROADCAST_LANGS else counts, "lang")
+    # Rows are drawn by their id before any text is cut, twice as many as are kept.
+    x = x.where((F.xxhash64("doc").cast("double") / float(1 << 63) + 1) / 2 < 2.0 * each / F.col("n"))
+    place = F.pmod(F.xxhash64("doc", F.lit("place")), F.greatest(F.lit(1), F.ceil(F.length("text") / piece)))
+    x = x.withColumn("place", place).select("doc", "lang", F.expr(f"substring(text, cast(place * {piece} + 1 as int), {piece})").alias("text")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc", "text"))
+    x = x.withColumn("rank", first).where(F.col("rank") <= each)
+    return [(r["text"], r["lang"]) for r in x.select("text", "lang").collect()]
 
 
 def fit(docs: DataFrame) -> Model:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import re
 import xxhash
+from pyspark.sql import functions as F
 from test_operators import components
 
 import corpus_pipeline
@@ -12,13 +13,17 @@ from sonolake.llm import decontam, mixing, substrings
 from sonolake.llm.common import stage
 
 SF = "/root/testdata/sf0.001"
+CLASHING = ["score", "accepted", "lang_pred", "__text", "chunk", "__chunk", "kept", "n_removed", "__id", "__row", "fp", "id", "component", "component_id", "row", "n", "key", "shard", "tie", "epoch", "domain", "c0", "c1"]
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
     extra = spark.createDataFrame([(9001, "12 -- 34", "en", "src1", 8), (9002, None, "en", "src1", 0), (9003, "", None, None, 0), (None, "the and of that with this is and the", "en", "src1", 36)], docs.schema)
-    out = [stage(docs.unionByName(extra), "in")]
+    both = docs.unionByName(extra).unionByName(docs.where("doc_id < 3"))
+    for name in CLASHING:
+        both = both.withColumn(name, F.concat(F.lit(name + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = [stage(both, "in")]
     for name, f in corpus_pipeline.STAGES:
         out.append(stage(f(spark, out[-1], SF), name))
     return out
@@ -34,7 +39,9 @@ def key(r):
 
 def test_columns(tables):
     for t in tables[:-1]:
-        assert t.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert t.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+        for r in t.collect():
+            assert all(r[c] == f"{c}:{'none' if r['doc_id'] is None else r['doc_id']}" for c in CLASHING)
 
 
 def test_language_stage(tables):
