@@ -1,11 +1,13 @@
 """From raw documents to a training mix: each stage reads what its predecessor kept.
 
-Every stage but the last returns the columns of ``documents``; the last returns the selections of the mix.
+Every stage but the last returns the columns of ``documents``, and any further ones as they are, whatever their names;
+the last returns the selections of the mix.  In all stages a null text is empty, rows without an id are rows like
+others unless said otherwise, a text of any length is read whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.llm import decontam, langid, mixing, simhash, substrings
@@ -14,27 +16,25 @@ from sonolake.llm.common import stage
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter, or under the calibrated score, go."""
-    return langid.predict(docs, langid.fit(docs), docs.columns).where("accepted").select(*docs.columns)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest id; of rows that share it, the first by text.
-
-    Rows without an id belong to no group and stay.
-    """
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(stage(kept, "kept"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    rows = rows.withColumn("__n", first).where("__n = 1").select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near-duplicates the row with the smallest id, of equal rows the first; rows without an id stay."""
+    return simhash.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a smaller id holds; documents of which no word is left go."""
-    other = [c for c in docs.columns if c not in ("text", "n_chars")]
-    got = substrings.remove_repeats(docs, other, characters=True).withColumn("text", F.col("kept").cast("string"))
-    got = got.where("n_removed = 0 OR text RLIKE '[^ \\\\x09-\\\\x0D]'").withColumn("n_chars", F.length("text").cast("long"))
-    return got.select(*docs.columns)
+    names = docs.columns
+    at = {c: f"c{names.index(c)}" for c in ("doc_id", "text", "n_chars") if c in names}
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    other = [c for c in plain.columns if c not in (at["text"], at.get("n_chars"))]
+    got = substrings.remove_repeats(plain.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), other, characters=True)
+    got = got.withColumn(at["text"], F.col("kept").cast("string")).where(f"n_removed = 0 OR {at['text']} RLIKE '[^ \\\\x09-\\\\x0D]'")
+    if "n_chars" in at:
+        got = got.withColumn(at["n_chars"], F.length(at["text"]).cast("long"))
+    return got.select(*plain.columns).toDF(*names)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
