@@ -49,7 +49,7 @@ def op9_embeddings(spark, sf_dir):
 
 
 def op10_warc(spark, sf_dir):
-    return warc.read_archives(warc.archive(_read(spark, sf_dir, "pages")))
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
 QUERIES = {

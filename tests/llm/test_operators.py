@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables that hold nulls, empties, ties, copies and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -378,11 +379,15 @@ def test_mixing_against_plain_walk(spark):
 PAGES = "page_id long, url string, html string, sha string, first long"
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("rotate", [8 << 20, 300])
+def test_warc_round_trip(spark, tmp_path, rotate):
     rng = random.Random(6)
-    rows = [(i, f"http://x/{i}\n", rng.choice(["<p>é</p>", "", None, f"<p>{i}</p>", "long " * 5000]), "s", 1) for i in range(80)] + [(None, None, "<p>é</p>", None, None), (None, "u", "only here", None, None), (3, "again", "<p>3</p>", None, None)]
-    arch = warc.archive(spark.createDataFrame(rows, PAGES))
-    got = sorted(((-1 if r["page_id"] is None else r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in warc.read_archives(arch).collect())
+    rows = [(i, f"http://x/{i}\n", rng.choice(["<p>é</p>", "", None, f"<p>{i}</p>", "long " * 5000, "a\r\n\r\nContent-Length: 3\r\n\r\nb\r\n"]), "s", 1) for i in range(80)] + [(None, None, "<p>é</p>", None, None), (None, "u", "only here", None, None), (3, "again", "<p>3</p>", None, None)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    monoliths, archives = str(tmp_path / "monoliths"), str(tmp_path / "archives")
+    warc.write(pages, monoliths)
+    warc.normalise(spark, monoliths, archives, rotate)
+    got = sorted(((-1 if r["page_id"] is None else r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in warc.read(spark, archives).collect())
     first = {}
     for p, _, h, *_ in rows:
         if p is not None:
@@ -393,27 +398,46 @@ def test_warc_round_trip(spark, tmp_path):
         own = f is None or f == p
         want.append((-1 if p is None else p, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if own else "revisit", 0 if own else f))
     assert got == sorted(want)
-    names = warc.export(arch, tmp_path)
-    body = next(tmp_path / n for n in names if n.endswith(".gz")).read_bytes()
-    index = next(tmp_path / n for n in names if n.endswith(".cdx")).read_text().split("\n")
-    raw = zlib.decompress(body[int(index[1].split()[0]) :], 31)
-    assert raw.startswith(b"WARC/1.1\r\n") and warc.inflate(body) is not None
-    assert b"".join(warc.inflate(body)).count(b"WARC/1.1\r\n") == len(index)
-    assert warc.read_archives(warc.archive(spark.createDataFrame([], PAGES))).collect() == []
-
-
-def test_monolith_is_one_member_and_splits_in_small_pieces():
-    raws = [warc.record(i, "u", b"x" * i + b"\r\n\r\nContent-Length: 9", None) for i in range(50)]
-    pack = zlib.compressobj(wbits=31)
-    body = pack.compress(b"".join(raws)) + pack.flush()
-    new, index = warc.normalise_body(body)
-    assert list(warc.split_stream(warc.inflate(body, 7))) == raws
-    for raw, line in zip(raws, index.split("\n")):
-        at, n = map(int, line.split()[:2])
-        assert zlib.decompress(new[at : at + n], 31) == raw
+    # The files themselves: a monolith is one gzip member, an archive one for each record at its index' offsets.
+    raws = []
+    for f in (tmp_path / "monoliths").glob("*.gz"):
+        z = zlib.decompressobj(31)
+        raws.append(z.decompress(f.read_bytes()))
+        assert z.eof and not z.unused_data
+    bodies = {f.parent.name.removeprefix("name=").removesuffix(".warc.gz"): f.read_bytes() for f in (tmp_path / "archives").glob("*.warc.gz/*.txt")}
+    found, ids = [], set()
+    for f in (tmp_path / "archives").glob("*.cdx/*.txt"):
+        body, end = bodies.pop(f.parent.name.removeprefix("name=").removesuffix(".cdx")), 0
+        for line in f.read_text().strip("\0\n").split("\n"):
+            at, n, kind, name = line.split(" ")
+            assert int(at) == end
+            end += int(n)
+            found.append(zlib.decompress(body[int(at) : end], 31))
+            ids.add(name)
+            assert f"WARC-Type: {kind}\r\n".encode() in found[-1]
+        assert body[end:] in (b"", warc.EMPTY)
+        assert gzip.decompress(body) == b"".join(found[-body.count(b"\x1f\x8b\x08") :]) or body[end:] or rotate > 300
+    assert not bodies and len(ids) == len(rows) and sorted(found) == sorted(r for raw in raws for r in warc.split_stream([raw]))
+    assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_warc_record_that_ends_in_no_zero():
+    """A record of 16 MB and more: the highest byte of its length is not zero, so an empty member follows."""
+    a = warc.Archive("x")
+    a.add(warc.record("n", 1, "u", b"z" * (1 << 24), None, None))
+    body = a.close().column(1)[0].as_py() + b"\0"
+    assert body.endswith(warc.EMPTY) and len(gzip.decompress(body)) > 1 << 24
+
+
+def test_stream_splits_in_small_pieces():
+    raws = [warc.record(str(i), i, "u", b"x" * i + b"\r\n\r\nContent-Length: 9", None, None) for i in range(50)]
+    whole = b"".join(raws)
+    assert list(warc.split_stream(whole[i : i + 7] for i in range(0, len(whole), 7))) == raws
+    with pytest.raises(ValueError):
+        list(warc.split_stream([whole[:-30]]))
 
 
 @pytest.mark.parametrize("least,types", [(0, ["response", "revisit"]), (9, ["response", "response"])])
 def test_warc_least_bytes(spark, least, types):
     pages = spark.createDataFrame([(1, "a", "same", "", 0), (2, "b", "same", "", 0)], PAGES)
-    assert [r["record_type"] for r in warc.read_archives(warc.archive(pages, least)).orderBy("page_id").collect()] == types
+    assert [r["record_type"] for r in warc.round_trip(pages, least).orderBy("page_id").collect()] == types
