@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -249,11 +250,11 @@ def test_window_bound_loses_no_unit(monkeypatch):
 def test_license_rules(spark):
     t = licenses.SENTENCES
     rows = [
-        (1, f"Intro text. {t[1]}; {t[2]}.\n{t[3]}.\nMore."), (2, f"x\n{t[1]}.\n{t[12]}."), (3, t[4].upper() + "\n" + t[4]), (4, f"{t[22]}.\nAll  Rights reserved."),
+        (1, f"Intro text. {t[1]}; {t[2]}.\n{t[3]}.\nMore."), (2, f"x\n{t[1]}.\nLicensed under CC BY-NC 4.0."), (3, t[4].upper() + "\n" + t[4]), (4, f"{t[22]}.\nAll  Rights reserved."),
         (5, None), (6, ""), (7, "nothing at all"), (8, f"{t[9]}.\n\n{t[10]}.\n\n{t[11]}."), (9, f"{t[17]}: {t[18]}. {t[19]}. {t[20]}."), (None, t[8]),
     ]
     got = sorted(((r["doc_id"] or 0, r["license"], r["rule"]) for r in licenses.scan(docs_of(spark, rows)).collect()))
-    assert got == sorted([(1, "Apache-2.0", "apache-notice"), (2, "Apache-2.0", "apache-line"), (2, "CC-BY-NC-4.0", "cc-by-nc-line"), (3, "MIT", "mit-line"), (3, "MIT", "mit-line"), (4, "MPL-2.0", "mpl-line"), (4, "Proprietary", "reserved-line"), (8, "GPL-3.0", "gpl3-notice"), (9, "BSD-3-Clause", "bsd3-text"), (0, "GPL-3.0", "gpl3-line")])
+    assert got == sorted([(1, "Apache-2.0", "apache-notice"), (2, "Apache-2.0", "apache-line"), (2, "CC-BY-NC-4.0", "cc-by-nc-4.0-line"), (3, "MIT", "mit-line"), (3, "MIT", "mit-line"), (4, "MPL-2.0", "mpl-line"), (4, "Proprietary", "reserved-line"), (8, "GPL-3.0", "gpl3-notice"), (9, "BSD-3-Clause", "bsd3-text"), (0, "GPL-3.0", "gpl3-line")])
     assert licenses.scan(docs_of(spark, [])).collect() == []
 
 
@@ -330,6 +331,48 @@ def test_licenses_as_they_stand_in_files(spark):
     assert licenses.identify(rest[2], licenses.sentence_table()) == [17, -1, 18, 0, 0, 19]
 
 
+def plain_identifiers(text):
+    """Identifiers by joining pieces and looking them up, the longest first."""
+    table = {licenses.normal(s): i for i, s in [*licenses.SENTENCES.items(), *licenses.WORDINGS]}
+    pieces = licenses.cut(text)
+    parts, out, i = [n for n, _ in pieces], [], 0
+
+    def at(i, skip=0):
+        for n in range(min(40, len(parts) - i), 0, -1):
+            if got := table.get(" ".join(" ".join(parts[i : i + n]).split()[skip:])):
+                return got, n
+        return 0, 0
+
+    while i < len(parts):
+        known, n = at(i)
+        if not known and licenses.LABELLED.match(pieces[i][1]):
+            known, n = at(i, 1)
+        elif not known and licenses.LABEL.fullmatch(parts[i]) and at(i + 1)[0]:
+            known, n = -1, 1
+        out += [known] + [-1] * (n - 1)
+        i += max(n, 1)
+    return out
+
+
+def test_licenses_of_all_rules_wrapped_and_joined(spark):
+    """Every rule's sentences, in one line and wrapped as comments: found whole; and random texts against plain look-up."""
+    table = licenses.sentence_table()
+    rows, want = [], []
+    for name, licence, seq, _ in licenses.RULES:
+        head, body = "Copyright (c) 2021 Someone", ". ".join(licenses.SENTENCES[i] for i in seq) + "."
+        for text in (f"{head}. {body} Code.", "\n".join([head, *textwrap.wrap(body, 60), "Code"]), "\n".join(["/*", f" * {head}", " *", *(f" * {x}" for x in textwrap.wrap(body, 72)), " */"])):
+            rows.append((len(rows), text))
+            want.append((len(want), name, licence, len(seq)))
+    got = sorted((r["doc_id"], r["rule"], r["license"], r["n_sentences"]) for r in licenses.scan(docs_of(spark, [*rows, (9999, "word " * 300_000 + "\n" + MIT)])).collect())
+    assert got[:-1] == want and got[-1][:3] == (9999, "mit-text", "MIT")
+    rng = random.Random(30)
+    known = [*licenses.SENTENCES.values(), *(s for _, s in licenses.WORDINGS)]
+    for _ in range(300):
+        text = " ".join(rng.choice([rng.choice(known), rng.choice(known)[: rng.randrange(80)], sentence(rng, 4), "1.", "(b)", "iv."]) + rng.choice([".", ".\n", ";", "", "\n\n"]) for _ in range(8))
+        text = rng.choice([text, "\n".join(textwrap.wrap(text, rng.randrange(20, 90))), text.upper()])
+        assert licenses.identify(text, table) == plain_identifiers(text)
+
+
 def test_mixing_against_plain_walk(spark):
     rng = random.Random(8)
     rows = [(i, sentence(rng, rng.randrange(0, 30)), rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src0", "src11", "src2", "odd", None])) for i in range(600)]
