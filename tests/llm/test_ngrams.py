@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from math import isclose, log10
 
+import numpy as np
 import pytest
 from test_operators import corpus, docs_of
 
@@ -54,11 +55,26 @@ def test_edges(spark):
 def test_distributions_sum_to_one():
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcde") for _ in range(30)).encode() for _ in range(5)]
-    chunk = ngrams.Chunk(texts, [True] * 5, 2)
+    chunk = ngrams.Chunk(texts, [True] * 5, 3)
     counts = [g[1] for g in chunk.grams]
-    m = ngrams.Automaton(chunk, counts, int(counts[0].sum()) - 5, len(counts[0]) - 1, ngrams.STRENGTH)
-    for state in {m.start, *m.arc_next} - {int(m.root_next[1])}:  # nothing follows an end
-        m.start = state
-        total = sum(10 ** m.score([t]) for t in range(1, chunk.words))
-        unknown = 0.5 / (int(counts[0].sum()) - 5 + 0.5 * len(counts[0])) * 10 ** m.fail_weight[state]
-        assert isclose(total + unknown, 1, abs_tol=1e-9)
+    n, v = int(counts[0].sum()) - 5, len(counts[0]) - 1
+    m = ngrams.Automaton(chunk, counts, n, v, ngrams.STRENGTH)
+    states, tokens = (np.concatenate(x) for x in zip(*m.arcs_from))
+    arcs = {(int(s), int(t)): a for a, (s, t) in enumerate(zip(states, tokens))}
+    assert len(arcs) == len(states) and {int(m.depth[s]) for s in states} == {1, 2}
+
+    def log_probability(state, token):
+        total = 0.0
+        while state and (state, token) not in arcs:
+            total, state = total + m.fail_weight[state], int(m.fail[state])
+        return total + (m.arc_prob[arcs[state, token]] if state else m.base[token])
+
+    for state in {m.start, *m.arc_next.tolist()} - set(m.root_next[1:2].tolist()):
+        if any(s == state for s, _ in arcs):  # nothing follows an end
+            back, s = 0.0, state
+            while s:
+                back, s = back + m.fail_weight[s], int(m.fail[s])
+            unknown = 0.5 / (n + 0.5 * (v + 1)) * 10**back
+            assert isclose(sum(10 ** log_probability(state, t) for t in range(1, chunk.words)) + unknown, 1, abs_tol=1e-9)
+    # A chain of failure arcs: from a context of two tokens to one, and to none.
+    assert any(m.depth[s] == 2 and m.depth[m.fail[s]] == 1 and m.fail[m.fail[s]] == 0 for s in range(len(m.fail)))
