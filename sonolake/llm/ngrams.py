@@ -37,7 +37,7 @@ ORDER = 3
 SPARE = 20
 #: The strength b of the lower order in each interpolation.
 STRENGTH = 8.0
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 19
 END, START = b"\n", b"\n\n"  # no word holds white space
 SENT = "kind int, chunk int, bucket int, keys binary, counts binary"
 ANSWER = "kind int, chunk int, bucket int, counts binary, total long, kinds long"
