@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,25 @@ class Ids(dict):
         return n
 
 
+def number_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of each word, words of each text, distinct words as they are met) of binary texts, lower-cased in A-Z.
+
+    Words are cut at bytes 0x20 and 0x09 to 0x0D; a null text has none.
+    """
+    texts = texts.cast(pa.binary())
+    as_text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), texts.null_count, texts.offset)
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(as_text, "")))
+    flat = parts.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False) if len(flat) else np.empty(0, bool)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    at = np.frombuffer(at, np.int32)[coded.dictionary.offset :][: len(coded.dictionary) + 1].tolist() if len(coded.dictionary) else [0]
+    data = data.to_pybytes() if data is not None else b""
+    words = [data[a:b] for a, b in zip(at, at[1:])]
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(of[real], minlength=len(texts)), words
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending uint64 numbers as byte planes of their differences, which compress well."""
     return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()

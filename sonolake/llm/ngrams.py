@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, chunk_count, chunked, mix64, pack_numbers, pack_sorted, stage, tasks_for, text_bytes, unpack_numbers, unpack_sorted
+from .common import chunk_count, chunked, mix64, number_words, pack_numbers, pack_sorted, stage, tasks_for, text_bytes, unpack_numbers, unpack_sorted
 
 ORDER = 3
 SPARE = 20
@@ -50,22 +50,16 @@ def held_out(doc_id: Column) -> Column:
 class Chunk:
     """Token sequences of a chunk's texts, each between a start and an end, and their n-gram hashes."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, order: int, bits: int = 64):
-        ids = Ids({START: 0, END: 1})
-        number = ids.__getitem__
-        runs, sizes = [], []
-        for t in texts:
-            w = t.lower().split()
-            runs.append(np.fromiter(map(number, w), np.int32, len(w)))
-            sizes.append(len(w) + 2)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, texts: pa.Array | list[bytes], train: np.ndarray, order: int, bits: int = 64):
+        numbers, sizes, words = number_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        self.sizes = sizes + 2
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.tokens = np.ones(int(self.sizes.sum()), np.int32)
-        for at, r in zip(self.starts.tolist(), runs):
-            self.tokens[at] = 0
-            self.tokens[at + 1 : at + 1 + len(r)] = r
-        self.words = len(ids)
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
+        self.tokens = np.ones(int(self.sizes.sum()), np.int32)  # 0 starts a text, 1 ends it
+        self.tokens[self.starts] = 0
+        self.tokens[np.arange(len(numbers)) + np.repeat(self.starts + 1 - (np.cumsum(sizes) - sizes), sizes)] = numbers + 2
+        words = [START, END, *words]
+        self.words = len(words)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         seen = np.repeat(np.asarray(train, bool), self.sizes)
         gram = h[self.tokens]
         inside = np.ones(len(self.tokens), np.int64)
@@ -83,8 +77,8 @@ class Chunk:
             self.grams.append((keys, np.bincount(index[seen[at]], minlength=len(keys)), where))
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [b if b is not None else b"" for b in table.column("text").combine_chunks().to_pylist()]
+def _texts(table: pa.Table) -> pa.Array:
+    return table.column("text").combine_chunks()
 
 
 def _packets(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, shift: int) -> list[tuple]:

@@ -7,6 +7,7 @@ from collections import Counter
 from math import isclose, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import corpus, docs_of
 
@@ -78,3 +79,13 @@ def test_distributions_sum_to_one():
             assert isclose(sum(10 ** log_probability(state, t) for t in range(1, chunk.words)) + unknown, 1, abs_tol=1e-9)
     # A chain of failure arcs: from a context of two tokens to one, and to none.
     assert any(m.depth[s] == 2 and m.depth[m.fail[s]] == 1 and m.fail[m.fail[s]] == 0 for s in range(len(m.fail)))
+
+
+def test_words_are_cut_and_numbered_as_bytes():
+    rng = random.Random(2)
+    texts = [None, b"", b" \t", "é À\u00a0b\u2003c".encode(), b"\xff\xfe A\x0bb\x85c\x1cd"] + [bytes(rng.choice(b"aB \t\n\x0b\x0c\r\x00\x1f\xc3\xa0.") for _ in range(rng.randrange(40))) for _ in range(200)]
+    for part in (texts, texts[3:7], []):
+        numbers, sizes, words = ngrams.number_words(pa.array(texts, pa.binary()).slice(texts.index(part[0]) if part else 0, len(part)))
+        want = [(t or b"").lower().split() for t in part]
+        assert [words[i] for i in numbers] == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+        assert words == list(dict.fromkeys(w for t in want for w in t))
