@@ -7,6 +7,7 @@ resampling.  Nothing here knows of Spark.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -97,28 +98,35 @@ def kbd_window(n: int = 256, alpha: float = 5.0) -> np.ndarray:
 
 
 def mdct(x: np.ndarray) -> np.ndarray:
-    """Lapped transform of blocks of 2n windowed samples to n coefficients (rows are blocks), by one FFT of n points."""
+    """Lapped transform of blocks of 2n windowed samples to n coefficients (rows are blocks), by one FFT of n/2 points."""
     n = x.shape[-1] // 2
     half = n // 2
     a, b, c, d = x[..., :half], x[..., half:n], x[..., n : n + half], x[..., n + half :]
     folded = np.concatenate([-c[..., ::-1] - d, a - b[..., ::-1]], axis=-1)
-    k = np.arange(n)
-    return _dct4(folded, k, n)
+    return _dct4(folded, n)
 
 
 def imdct(y: np.ndarray) -> np.ndarray:
     """2n time-aliased samples of n coefficients; windowed overlap-add of ``2 imdct(mdct(x)) / n`` gives x back."""
     n = y.shape[-1]
     half = n // 2
-    u = _dct4(y, np.arange(n), n)
+    u = _dct4(y, n)
     p, q = u[..., :half], u[..., half:]
     return np.concatenate([q, -q[..., ::-1], -p[..., ::-1], -p], axis=-1)
 
 
-def _dct4(x: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
-    z = np.zeros((*x.shape[:-1], 2 * n), np.complex128)
-    z[..., :n] = x * np.exp(-1j * np.pi * k / (2 * n))
-    return (np.fft.fft(z, axis=-1)[..., :n] * np.exp(-1j * np.pi * (2 * k + 1) / (4 * n))).real
+@lru_cache(maxsize=16)
+def _turns(n: int) -> np.ndarray:
+    return np.exp(-1j * np.pi * (np.arange(n // 2) + 0.125) / n)
+
+
+def _dct4(x: np.ndarray, n: int) -> np.ndarray:
+    """Type-IV cosine transform of even length: even places and reversed odd ones are the parts of n/2 complex numbers."""
+    w = _turns(n)
+    z = np.fft.fft((x[..., ::2] + 1j * x[..., ::-1][..., ::2]) * w, axis=-1) * w
+    out = np.empty(x.shape)
+    out[..., ::2], out[..., ::-1][..., ::2] = z.real, -z.imag
+    return out
 
 
 def resample(x: np.ndarray, source: int, target: int, taps: int = 32) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,5 +28,15 @@ def dim(spark, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A table computed once, its lineage cut: in the checkpoint folder where there is one, else on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """A table computed once, its lineage cut, in the checkpoint folder: the one on the context, or spark.checkpoint.dir.
+
+    Where neither is set, a local master gets a temporary folder; a cluster must name one that all share.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sonolake-"))
+    return df.checkpoint()

@@ -45,16 +45,16 @@ def pan(sources: DataFrame, azimuth: str, ring: DataFrame) -> DataFrame:
 def asof_lerp(queries: DataFrame, frames: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     """As-of join with linear interpolation between keyframes; the end values hold outside them.
 
-    One window over the union of both sides finds each query's neighbours, so there is no range join: the
-    last keyframe at or before it and the first after it.
+    Two running windows over the union of both sides find each query's neighbours, so there is no range join: the last
+    keyframe at or before it and, read backwards, the first after it.
     """
     both = frames.select(*keys, F.col(t).alias("t"), F.col(value).alias("v"), F.lit(None).cast("double").alias("q"), F.lit(0).alias("kind"), *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in queries.columns if c not in (*keys, t)])
     asked = queries.select(*keys, F.col(t).alias("t"), F.lit(None).cast("double").alias("v"), F.col(t).cast("double").alias("q"), F.lit(1).alias("kind"), *[c for c in queries.columns if c not in (*keys, t)])
     x = both.unionByName(asked)
     back = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     frame = F.when(F.col("kind") == 0, F.struct("t", "v"))
-    x = x.withColumn("p", F.last(frame, ignorenulls=True).over(back)).withColumn("n", F.first(frame, ignorenulls=True).over(ahead)).where("kind = 1")
+    x = x.withColumn("p", F.last(frame, ignorenulls=True).over(back)).withColumn("n", F.last(frame, ignorenulls=True).over(ahead)).where("kind = 1")
     lerp = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (F.col("t") - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))
     out = F.when(F.col("p").isNull(), F.col("n.v")).when(F.col("n").isNull(), F.col("p.v")).otherwise(lerp)
     return x.withColumn(value, out).withColumnRenamed("t", t).select(*queries.columns, value)

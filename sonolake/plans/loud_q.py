@@ -166,20 +166,16 @@ SELECT word, round(gain, 6) AS gain, round(20 * log10(gain), 6) AS gain_db FROM
 
 def encode_dynrng(spark, sf):
     x = _numbered(spark, sf).withColumn("g", r6(F.col("db") / 2 + 7))
-    x = x.withColumn("word", drc.encode_word(F.col("g"), 5, -4, 3)).withColumn("down", drc.encode_word(F.col("g"), 4, -8, 7, True))
+    x = x.withColumn("word", drc.encode_word(F.col("g"), 5)).withColumn("down", drc.encode_word(F.col("g"), 4, True))
     return x.groupBy("word", "down").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _encode_sql(bits, low, high, down):
-    s = 1 << bits
-    return f"""SELECT event_id, ((CASE WHEN x < 0 THEN x + {2 * (high + 1)} ELSE x END) << {bits}) | y AS word FROM (SELECT event_id, LEAST(GREATEST(x, {low}), {high}) AS x, CASE WHEN x < {low} THEN 0 WHEN x > {high} THEN {s - 1} ELSE y END AS y FROM
- (SELECT event_id, CASE WHEN y > {s - 1} THEN x + 1 ELSE x END AS x, CASE WHEN y > {s - 1} THEN 0 ELSE y END AS y FROM (SELECT event_id, x, CAST({'floor' if down else 'round'}(gain / pow(2.0, x) * {s} - {s}{' + 1e-9' if down else ''}) AS INT) AS y FROM
- (SELECT event_id, gain, CAST(floor(log2(gain) + 1e-12) AS INT) AS x FROM gains))))"""
-
-
+_GAINS = lambda bits: dims.values([(w, g) for g, w in drc.word_gains(bits)], "word, code")
 add("dynrng_encode", encode_dynrng, f"""
-WITH {I}, gains AS (SELECT event_id, pow(10.0, round(db / 2 + 7, 6) / 20) AS gain FROM i), a AS ({_encode_sql(5, -4, 3, False)}), b AS ({_encode_sql(4, -8, 7, True)})
-SELECT CAST(a.word AS INT) AS word, CAST(b.word AS INT) AS down, COUNT(*) AS n FROM a JOIN b USING (event_id) GROUP BY ALL""")
+WITH {I}, gains AS (SELECT event_id, pow(10.0, round(db / 2 + 7, 6) / 20) AS gain FROM i), g AS (SELECT DISTINCT gain FROM gains),
+a AS (SELECT gain, arg_min(word, {{'d': abs(code - gain), 'g': code}}) AS word FROM g, {_GAINS(5)} GROUP BY gain),
+b AS (SELECT gain, COALESCE(arg_max(word, code) FILTER (code <= gain * (1 + 1e-12)), arg_min(word, code)) AS word FROM g, {_GAINS(4)} GROUP BY gain)
+SELECT CAST(a.word AS INT) AS word, CAST(b.word AS INT) AS down, COUNT(*) AS n FROM gains JOIN a USING (gain) JOIN b USING (gain) GROUP BY ALL""")
 
 
 def nearest_code(spark, sf):

@@ -223,9 +223,10 @@ def transients(spark, sf):
     x = x.withColumn("b0", F.greatest("a0", "a1")).withColumn("b1", F.greatest("a2", "a3")).withColumn("c", F.greatest("b0", "b1"))
     w = Window.partitionBy(F.expr("vec_id div 64")).orderBy("vec_id")
     x = x.withColumns({f"l{n}": F.lag(c).over(w) for n, c in ((1, "c"), (2, "b1"), (3, "a3"))})
-    hit = (F.col("c") * 9 > F.col("l1") * 10) | (F.col("b0") * 8 > F.col("l2") * 10) | (F.col("b1") * 8 > F.col("b0") * 10) | (F.col("a0") * 7 > F.col("l3") * 10)
+    # A peak times 0.1, 0.075 or 0.05, by the length it is of, is above the one before.
+    hit = (F.col("c") > F.col("l1") * 10) | (F.col("b0") * 3 > F.col("l2") * 40) | (F.col("b1") * 3 > F.col("b0") * 40) | (F.col("a0") > F.col("l3") * 20)
     for k in (1, 2, 3):
-        hit = hit | (F.col(f"a{k}") * 7 > F.col(f"a{k - 1}") * 10)
+        hit = hit | (F.col(f"a{k}") > F.col(f"a{k - 1}") * 20)
     return x.select("vec_id", (F.col("l1").isNotNull() & hit).alias("transient"))
 
 
@@ -233,19 +234,19 @@ add("transient_tree", transients, f"""
 WITH {LONG}, p AS (SELECT vec_id, MAX(CASE WHEN bin // 16 = 0 THEN abs(q) END) AS a0, MAX(CASE WHEN bin // 16 = 1 THEN abs(q) END) AS a1, MAX(CASE WHEN bin // 16 = 2 THEN abs(q) END) AS a2, MAX(CASE WHEN bin // 16 = 3 THEN abs(q) END) AS a3 FROM e GROUP BY vec_id),
 b AS (SELECT *, GREATEST(a0, a1) AS b0, GREATEST(a2, a3) AS b1, GREATEST(a0, a1, a2, a3) AS c FROM p),
 l AS (SELECT *, lag(c) OVER w AS l1, lag(b1) OVER w AS l2, lag(a3) OVER w AS l3 FROM b WINDOW w AS (PARTITION BY vec_id // 64 ORDER BY vec_id))
-SELECT vec_id, l1 IS NOT NULL AND (c * 9 > l1 * 10 OR b0 * 8 > l2 * 10 OR b1 * 8 > b0 * 10 OR a0 * 7 > l3 * 10 OR a1 * 7 > a0 * 10 OR a2 * 7 > a1 * 10 OR a3 * 7 > a2 * 10) AS transient FROM l""")
+SELECT vec_id, l1 IS NOT NULL AND (c > l1 * 10 OR b0 * 3 > l2 * 40 OR b1 * 3 > b0 * 40 OR a0 > l3 * 20 OR a1 > a0 * 20 OR a2 > a1 * 20 OR a3 > a2 * 20) AS transient FROM l""")
 
 add("exponent_change", lambda spark, sf: _exponents(bins(spark, sf)), f"""
 WITH {LONG}, x AS (SELECT vec_id, bin, CASE WHEN q = 0 THEN 24 ELSE CAST(LEAST(24, GREATEST(0, 20 - floor(log2(abs(q))))) AS INT) END AS ex FROM e),
-d AS (SELECT a.vec_id, SUM(abs(a.ex - b.ex)) AS change FROM x a JOIN x b ON a.bin = b.bin AND a.vec_id = b.vec_id + 1 GROUP BY a.vec_id) SELECT vec_id, CAST(change AS BIGINT) AS change, change > 96 AS resend FROM d""")
+d AS (SELECT a.vec_id, SUM(abs(a.ex - b.ex)) AS change FROM x a JOIN x b ON a.bin = b.bin AND a.vec_id = b.vec_id + 1 GROUP BY a.vec_id) SELECT vec_id, CAST(change AS BIGINT) AS change, change > 128 AS resend FROM d""")
 
 
 def _exponents(b):
-    """Exponents by leading zeros; a block sends new ones if they moved far enough from its predecessor's."""
+    """Exponents by leading zeros; a block sends new ones if they moved by over two a bin from its predecessor's."""
     ex = b.select("vec_id", "bin", F.when(F.col("q") == 0, 24).otherwise(F.least(F.lit(24), F.greatest(F.lit(0), 20 - F.floor(F.log2(F.abs("q"))).cast("int")))).alias("ex"))
     prev = ex.select((F.col("vec_id") + 1).alias("vec_id"), "bin", F.col("ex").alias("before"))
     d = ex.join(prev, ["vec_id", "bin"]).groupBy("vec_id").agg(F.sum(F.abs(F.col("ex") - F.col("before"))).alias("change"))
-    return d.select("vec_id", "change", (F.col("change") > 96).alias("resend"))
+    return d.select("vec_id", "change", (F.col("change") > 128).alias("resend"))
 
 
 def islands(spark, sf):
