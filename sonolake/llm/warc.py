@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, new_folder, stage
+from .common import delete, new_folder, stage, tasks_for
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 DATE = b"2024-01-01T00:00:00Z"
@@ -203,7 +203,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
     named = files.select(F.regexp_extract("path", "name=([^/]+)[.](warc[.]gz|cdx)/", 1).alias("stem"), F.regexp_extract("path", "[.](warc[.]gz|cdx)/", 1).alias("kind"), "content")
     index = named.where("kind = 'cdx'").select("stem", F.col("content").alias("index"))
-    return named.where("kind = 'warc.gz'").join(index, "stem").select("content", "index").mapInArrow(_read, RECORD)
+    tasks = tasks_for(index.select("stem").count())  # so that a task's archives do not grow with their number
+    bodies = named.where("kind = 'warc.gz'").select("stem", "content").repartition(tasks, "stem")
+    return bodies.join(index.repartition(tasks, "stem"), "stem").select("content", "index").mapInArrow(_read, RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, rotate: int = ROTATE) -> DataFrame:
