@@ -21,5 +21,5 @@ def add(name: str, query, sql: str | None = None) -> None:
 
 def load() -> None:
     """Import the modules that register queries."""
-    for module in ("loud_q", "spatial_q", "bits_q", "mux_q", "graph_q", "scalar_q", "stream_q"):
+    for module in ("loud_q", "spatial_q", "bits_q", "mux_q", "graph_q", "scalar_q", "stream_q", "alloc_q"):
         importlib.import_module(f"{__package__}.{module}")
