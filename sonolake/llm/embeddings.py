@@ -6,12 +6,12 @@ collisions are verified by cosine in double precision.  Window and counts are ca
 at the threshold (the hardest to find): each of two rounds of counting loses at most ``LOSS`` of them.
 
 Equal vectors are one class throughout.  Classes are dealt into cells by the sides of the mean on which their first
-projections lie; a query is asked in its own cell and in those that it reaches by crossing sides at a calibrated
-least cost (sums of squared distances; of threshold pairs at most ``CELL_LOSS`` reach each other in neither way).  The
-number of sides is chosen for the least work, so that work grows less than with the square of the vectors; a query's
-cells still grow in number (about with the power 0.6), and what is shuffled with them.  Cells are dealt into tiles of a
-bounded size; every pair of tiles is a unit of work and yields numbers of links and spanning stars, never the links
-themselves.
+projections lie; a query is asked in its own cell and in those that it reaches by crossing sides at a bounded cost
+(the sum of squared distances).  The bound is proven: of any pair at the threshold one end reaches the other's cell, so
+cells lose no pair, and what is found of a pair depends on its two vectors alone, whatever the table's size and however
+many sides there are.  Their number is chosen for the least work.  Where vectors spread evenly over many dimensions no
+number of sides saves any: all are one cell then, and all pairs are counted.  Cells are dealt into tiles of a bounded
+size; every pair of tiles is a unit of work and yields numbers of links and spanning stars, never the links themselves.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths do not link; rows with equal vec_id are separate vectors; a null vec_id takes
@@ -33,7 +33,7 @@ from .common import connected_components, stage, union_find
 
 LEAST = 0.9
 TILE, CELL = 2048, 8192
-CELL_LOSS, SIDES, UNITS = 0.004, 24, float(1 << 40)
+SIDES, UNITS, STEPS = 24, float(1 << 40), float(1 << 24)
 WIDTH = 2.0  # half-width of windows in standard deviations of a pair at the threshold
 ROUNDS, LOSS = (16, 32), 0.001  # projections after each round of counting; share of threshold pairs lost in one
 
@@ -51,19 +51,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@lru_cache(maxsize=64)
-def reach(dim: int, sides: int, least: float = LEAST, loss: float = CELL_LOSS, n: int = 20_000, seed: int = 4) -> int:
-    """The cost up to which cells are asked: of simulated pairs at the threshold all but ``loss`` have one end that
-    reaches the other's cell."""
+def reach(dim: int, sides: int, least: float = LEAST) -> int:
+    """The cost up to which cells are asked: of every pair at the threshold one end reaches the other's cell.
+
+    Unit vectors at the threshold are sqrt(2 - 2 * least) apart at most.  On a side that they cross, their distances u
+    and v from it add up, so the sums of u * u and of v * v together are at most 2 - 2 * least and the smaller is half of
+    that; on a single side u + v is bounded, and the smaller is a half of it.  What is added is far over all rounding.
+    """
     if not sides:
         return 0
-    rng = np.random.default_rng(seed)
-    x, y = unit(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
-    y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
-    a, b = x[:, :sides], (least * x + math.sqrt(1 - least * least) * y)[:, :sides]
-    crossed = (a > 0) != (b > 0)
-    cost = np.minimum((crossed * a * a).sum(axis=1), (crossed * b * b).sum(axis=1))
-    return int(np.quantile(cost, 1 - loss) * UNITS)
+    return int(((1 - least) / (2 if min(dim, sides) == 1 else 1) + 1e-6) * UNITS)
 
 
 def sides_of(vectors: np.ndarray, mean: np.ndarray, sides: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,25 +104,26 @@ def least_count(m: int, loss: float = LOSS, width: float = WIDTH) -> int:
     return m
 
 
-def collisions(order: np.ndarray, ordered: np.ndarray, queries: np.ndarray, width: float, counts: np.ndarray) -> None:
+def collisions(rank: np.ndarray, ordered: np.ndarray, queries: np.ndarray, width: int, counts: np.ndarray) -> None:
     """Add to counts[q, b] whether b lies in the window around query q, by bounds in sorted order."""
     lo, hi = np.searchsorted(ordered, queries - width, "left"), np.searchsorted(ordered, queries + width, "right")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    counts += (rank[None, :] - lo[:, None].astype(np.int32)).view(np.uint32) < (hi - lo)[:, None].astype(np.uint32)
+    # Unsigned: what lies below the window wraps to more than any window holds.
+    counts += (rank[None, :] - lo[:, None].astype(rank.dtype) < (hi - lo)[:, None].astype(rank.dtype)).view(np.uint8)
 
 
-def candidates(pa_: np.ndarray, pb: np.ndarray, width: float, step: int = 256):
+def candidates(pa_: np.ndarray, pb: np.ndarray, width: int, step: int = 256):
     """Blocks of (i, j) whose collisions reach the calibrated counts."""
     m = pa_.shape[1]
     rounds = [r for r in ROUNDS if r < m] + [m] if m else []
     order = [np.argsort(pb[:, k], kind="stable") for k in range(rounds[0])]
     ordered = [pb[o, k] for k, o in enumerate(order)]
+    # Ranks in as few bytes as hold them, the number of rows included.
+    ranks = [np.argsort(o).astype(np.uint16 if len(pb) < 1 << 16 else np.uint32) for o in order]
     for at in range(0, len(pa_), step):
         q = pa_[at : at + step]
         counts = np.zeros((len(q), len(pb)), np.uint8)
         for k in range(rounds[0]):
-            collisions(order[k], ordered[k], q[:, k], width, counts)
+            collisions(ranks[k], ordered[k], q[:, k], width, counts)
         i, j = np.nonzero(counts >= least_count(rounds[0]))
         got = counts[i, j].astype(np.int32)
         for a, b in zip(rounds, rounds[1:]):
@@ -139,9 +137,10 @@ def link(a: np.ndarray, b: np.ndarray, same: bool, least: float = LEAST):
     """Blocks of (i, j) with cosine of at least ``least``, by projections and then exactly; i < j if it is one set."""
     ua, ub = unit(a), unit(b)
     d = directions(a.shape[1])
-    # Projections of single precision; the window is wider by more than their rounding.
-    width = np.float32(WIDTH * math.sqrt(2 - 2 * least) / math.sqrt(a.shape[1]) + 1e-5) if a.shape[1] > 1 else np.float32(3)
-    for i, j in candidates((ua @ d).astype(np.float32), (ub @ d).astype(np.float32), width):
+    # Projections in whole units, so that it is the same which of two vectors is the query; the window is wider by more
+    # than their rounding.
+    width = round((WIDTH * math.sqrt(2 - 2 * least) / math.sqrt(a.shape[1]) + 1e-5 if a.shape[1] > 1 else 3) * STEPS)
+    for i, j in candidates(np.rint(ua @ d * STEPS).astype(np.int32), np.rint(ub @ d * STEPS).astype(np.int32), width):
         if same:
             keep = i < j
             i, j = i[keep], j[keep]
@@ -221,7 +220,10 @@ def _pairs(batches):
 
 
 def _plans(classes: DataFrame, cell: int) -> dict[int, tuple[int, np.ndarray]]:
-    """By length of vectors: sides and mean, from all of them; the number of sides is tried on a few."""
+    """By length of vectors: sides and mean, from all of them; the number of sides is tried on a few.
+
+    They say how pairs are dealt over tasks, and change nothing in what is found.
+    """
     means = classes.select("dim", "e").mapInArrow(_means, "dim int, n long, sum array<double>")
     got: dict[int, list] = {}
     for r in means.toLocalIterator():

@@ -1,6 +1,7 @@
 """Collision counting against all pairs, on planted pairs around the threshold and on broken vectors."""
 
 import numpy as np
+import pytest
 from test_operators import components
 
 from sonolake.llm import embeddings
@@ -83,3 +84,35 @@ def test_recall_over_cells(spark):
     np.fill_diagonal(near, False)
     found = np.array([r["n_links"] for r in sorted(got, key=lambda r: r["vec_id"])])
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.99 * near.sum() and found.max() == near.sum(axis=1).max()
+
+
+def test_cells_lose_no_pair():
+    """Of every pair at the threshold one end reaches the other's cell, wherever the mean lies."""
+    rng = np.random.default_rng(10)
+    for dim in (3, 8, 64):
+        x, y = planted(rng, 20_000, dim, np.full(20_000, 0.9))
+        for g in [k for k in (1, 2, 3, 6, 9) if k <= dim]:
+            for mean in (np.zeros(dim), x[0] / 3):
+                (hx, cx), (hy, cy) = (embeddings.sides_of(v, mean, g) for v in (x, y))
+                crossed = ((hx ^ hy)[:, None] >> np.arange(g)) & 1
+                most = embeddings.reach(dim, g)
+                assert (np.minimum((crossed * cx).sum(axis=1), (crossed * cy).sum(axis=1)) <= most).all()
+
+
+@pytest.mark.parametrize("dim,sides", [(64, None), (64, 5), (8, 4)])
+def test_results_do_not_depend_on_the_cells(spark, monkeypatch, dim, sides):
+    """One cell and many give the same rows, and so does a table to which far vectors are added."""
+    rng = np.random.default_rng(11)
+    x, y = planted(rng, 1200, dim, np.full(1200, 0.9002))
+    v, more = np.concatenate([x, y]).astype(np.float32), 40 * rng.standard_normal((2000, dim)).astype(np.float32)
+    if sides:
+        monkeypatch.setattr(embeddings, "best_sides", lambda sample, mean, n, cell: sides)
+
+    def run(vectors, cell):
+        rows = [(i, [float(c) for c in e]) for i, e in enumerate(vectors)]
+        return sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), tile=512, cell=cell).collect()))
+
+    want = run(v, 1 << 20)
+    assert run(v, 40) == want
+    if dim == 64:  # nothing that is added is near
+        assert run(np.concatenate([v, more]), 1000)[: len(v)] == want
