@@ -33,6 +33,7 @@ from .common import connected_components, stage, union_find
 
 LEAST = 0.9
 TILE, CELL = 2048, 8192
+GROUPS, TOGETHER = 32, 32  # a cell's own tiles are met in so many groups, of at most so many tiles
 SIDES, UNITS, STEPS = 24, float(1 << 40), float(1 << 24)
 WIDTH = 2.0  # half-width of windows in standard deviations of a pair at the threshold
 ROUNDS, LOSS = (16, 32), 0.001  # projections after each round of counting; share of threshold pairs lost in one
@@ -258,10 +259,13 @@ def near_duplicates(vectors: DataFrame, tile: int = TILE, cell: int = CELL) -> D
     tiles = dealt.groupBy("dim", "cell", "own", "part").agg(F.collect_list(F.struct(*columns)).alias("x"))
     tiles = stage(tiles.select("dim", "cell", "own", "part", *[(F.flatten(f"x.{c}") if c in ("costs", "e") else F.col(f"x.{c}")).alias(c) for c in columns]), "tiles", [asked])
     # All tiles of a cell meet those of its own vectors; of two of its own, the earlier meets the later.
-    whole = sizes.where("own").select("dim", "cell", "parts")
+    # Tiles are sent to groups of tiles, so that what is sent of each does not grow with their number.
+    each = F.greatest(F.lit(1), F.least(F.lit(TOGETHER), F.ceil(F.col("parts") / GROUPS).cast("int")))
+    whole = sizes.where("own").select("dim", "cell", "parts", each.alias("each"))
     left = tiles.select("dim", "cell", "own", F.col("part").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns]).join(whole, ["dim", "cell"])
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("NOT own OR a <= part")
-    pairs = left.join(tiles.where("own").drop("own").hint("merge"), ["dim", "cell", "part"])
+    left = left.withColumn("group", F.explode(F.expr("sequence(0, cast((parts - 1) div each as int))"))).where("NOT own OR a div each <= group")
+    right = tiles.where("own").drop("own").join(whole, ["dim", "cell"]).withColumn("group", F.expr("cast(part div each as int)")).drop("parts", "each")
+    pairs = left.join(right.hint("merge"), ["dim", "cell", "group"]).where("NOT own OR a <= part")
     pairs = pairs.select("dim", "cell", "own", (F.col("own") & (F.col("a") == F.col("part"))).alias("same"), *[f"a_{c}" for c in columns], *columns)
     found = stage(pairs.mapInArrow(_pairs, "u long, v long, links long"), "links", [tiles, sizes])
     linked = found.where("links > 0").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))

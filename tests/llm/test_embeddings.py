@@ -116,3 +116,16 @@ def test_results_do_not_depend_on_the_cells(spark, monkeypatch, dim, sides):
     assert run(v, 40) == want
     if dim == 64:  # nothing that is added is near
         assert run(np.concatenate([v, more]), 1000)[: len(v)] == want
+
+
+def test_tiles_meet_in_groups(spark, monkeypatch):
+    """However many groups tiles are met in, every pair counts once."""
+    rng = np.random.default_rng(12)
+    x, y = planted(rng, 400, 64, rng.uniform(0.9, 1.0, 400))
+    table = spark.createDataFrame([(i, [float(c) for c in e]) for i, e in enumerate(np.concatenate([x, y, x[:50]]))], "vec_id long, embedding array<double>")
+    got = []
+    for groups, together in ((32, 1), (3, 32), (1, 32), (2, 3)):
+        monkeypatch.setattr(embeddings, "GROUPS", groups)
+        monkeypatch.setattr(embeddings, "TOGETHER", together)
+        got.append(sorted(map(tuple, embeddings.near_duplicates(table, tile=64).collect())))
+    assert got[1:] == got[:1] * 3 and sum(r[1] for r in got[0]) >= 0.99 * (800 + 200)
