@@ -92,10 +92,14 @@ add("option_parse", options, "SELECT event_id, TRY_CAST(json_extract_string(prop
 
 
 def destinations(spark, sf):
-    """'name@-3.5' tokens to (name, trim) with trims snapped to a tenth of a dB; no trim is 0."""
-    n = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("token", F.concat(F.substring("s_name", 1, 8), F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("@"), F.format_string("%.2f", F.col("s_acctbal") / 1000)))))
+    """'name@-3.5' tokens to (name, trim) with trims snapped to a tenth of a dB; no trim is 0.
+
+    As in SQL, two places are of the binary value, an exact half to the even one; what rounds to zero keeps its sign.
+    """
+    n = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("token", F.concat(F.substring("s_name", 1, 8), F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("@"), F.call_function("format_number", F.col("s_acctbal") / 1000, F.lit("0.00"))))))
     trim = F.regexp_extract("token", "@([-+]?[0-9.]+)$", 1)
-    return n.select("s_suppkey", F.regexp_extract("token", "^([^@]+)", 1).alias("name"), F.when(trim == "", 0.0).otherwise(F.round(trim.try_cast("double"), 1)).alias("trim_db"))
+    d = trim.try_cast("double")
+    return n.select("s_suppkey", F.regexp_extract("token", "^([^@]+)", 1).alias("name"), F.when(trim == "", 0.0).otherwise(F.signum(d) * F.floor(F.abs(d) * 10 + 0.5) / 10).alias("trim_db"))
 
 
 add("destination_parse", destinations, """
