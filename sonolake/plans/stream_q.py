@@ -213,11 +213,12 @@ WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor((CAST(v
 SELECT vec_id, list_transform(range(len(codes)), lambda i: (codes[CAST(i + 1 AS INT)] - CASE WHEN i = 0 THEN 48 ELSE codes[CAST(GREATEST(i, 1) AS INT)] END + 96) % 96) AS deltas, codes FROM c""")
 
 
-# Lapped transform of each vector as a block of 64 windowed samples, and its inverse.
+# Lapped transform of each vector as a block of 64 windowed samples, and its inverse.  Sums are no negative zero; what
+# rounds to zero keeps its sign, as in SQL.
 def _transform(values):
     rise = kernels.kbd_window(32)
     y = kernels.mdct(np.array(values, np.float64) * np.concatenate([rise, rise[::-1]]))
-    return (np.round(y, 6) + 0.0).tolist(), (np.round(kernels.imdct(y), 6) + 0.0).tolist()
+    return np.round(y + 0.0, 6).tolist(), np.round(kernels.imdct(y) + 0.0, 6).tolist()
 
 
 _KBD = ", ".join(f"CAST({v!r} AS DOUBLE)" for v in [*kernels.kbd_window(32).tolist(), *kernels.kbd_window(32)[::-1].tolist()])

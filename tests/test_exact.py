@@ -1,5 +1,7 @@
 """Queries against their SQL to the last bit: signs of zero, roundings of binary halves."""
 
+import random
+
 import duckdb
 from sonolake.plans import registry
 
@@ -23,3 +25,11 @@ def test_trims_round_as_in_sql(spark, tmp_path):
     got, want = both(spark, "destination_parse", tmp_path, supplier=spark.createDataFrame(rows, "s_suppkey long, s_name string, s_acctbal double"))
     assert got == want
     assert "(1, 'Supplier', -0.0)" in got
+
+
+def test_small_coefficients_keep_their_sign(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 2e-7) for _ in range(64)]) for k in range(20)] + [(20, [0.0] * 64)]
+    got, want = both(spark, "lapped_transform", tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert got == want
+    assert "-0.0" in got[0]
