@@ -2,7 +2,9 @@
 
 import struct
 
-from sonolake.plans import graph_q
+import duckdb
+
+from sonolake.plans import graph_q, registry
 from sonolake.sources import matroska as mk
 from sonolake.sources import metadata as md
 
@@ -81,3 +83,20 @@ def test_mp4_offsets_and_lists():
     assert mk.timeline([5, 5, 5, 3, 5]) == '<S d="5" r="2"/><S d="3"/><S d="5"/>'
     assert "#EXT-X-TARGETDURATION:2\n" in mk.playlist([1.024, 1.5])
     assert mk.vint(126) == b"\xfe" and mk.vint(127) == b"\x40\x7f"
+
+
+def test_closure_holds_counts_of_paths(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k,) for k in range(1000)] + [(4,), (4,), (13,), (-5,), (-1,), (None,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    held, rows = graph_q.held, []
+
+    def counted(df):
+        out = held(df)
+        rows.append((out.count(), any(t.startswith("array") for _, t in out.dtypes)))
+        return out
+
+    monkeypatch.setattr(graph_q, "held", counted)
+    got = sorted(tuple(r) for r in graph_q.closure(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == sorted(duck.sql(registry.ORACLE_SQL["graph_closure"]).fetchall())
+    assert sum(n for n, _ in rows) < 2 * 1000 and not any(path for _, path in rows)
